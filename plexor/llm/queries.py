@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plexor.llm import licenses, quality_fm, secrets
 from plexor.llm.exact_dedup import exact_dedup
+from plexor.llm.quality_rules import quality_rules
 from plexor.llm.sharding import shard
 
 
@@ -18,11 +20,35 @@ def op1_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return secrets.digest(secrets.secret_scan(docs, secrets.train(docs)))
+
+
+def _held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~_held_out()).select("doc_id", F.col("quality").alias("y"))
+    scored = quality_fm.score(docs, quality_fm.train(docs, labels))
+    return scored.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, _documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_sharding, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_vector_sharding, op3_secret_scan, op4_quality_fm, op5_quality_rules, op6_license_scan, op8_exact_dedup)}
 
 SQL = {
     "op8_exact_dedup": r"""
