@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from plexor.llm import licenses, quality_fm, secrets
 from plexor.llm.exact_dedup import exact_dedup
+from plexor.llm.packing import pack_documents
 from plexor.llm.quality_rules import quality_rules
 from plexor.llm.sharding import shard
+from plexor.llm.token_counts import count_tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +46,25 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_documents(spark, sf_dir))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(spark, _documents(spark, sf_dir), tokenizer_path())
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, _documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_sharding, op3_secret_scan, op4_quality_fm, op5_quality_rules, op6_license_scan, op8_exact_dedup)}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(spark, _documents(spark, sf_dir), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_vector_sharding, op3_secret_scan, op4_quality_fm, op5_quality_rules, op6_license_scan, op7_token_counts, op8_exact_dedup, op10_best_fit_packing)}
 
 SQL = {
     "op8_exact_dedup": r"""

@@ -30,11 +30,11 @@ class Store:
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, **options) -> DataFrame:
         """Writes df and returns the written table."""
         self.n += 1
         at = f"{self.path}/{self.n:03d}-{name}"
-        df.write.parquet(at)
+        df.write.options(**options).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out.store_path = at
         return out
