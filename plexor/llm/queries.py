@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plexor.llm import licenses, quality_fm, secrets
 from plexor.llm.exact_dedup import exact_dedup
+from plexor.llm.mixing import mix
 from plexor.llm.packing import pack_documents
 from plexor.llm.quality_rules import quality_rules
 from plexor.llm.sharding import shard
@@ -60,11 +61,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, _documents(spark, sf_dir))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(spark, _documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, _documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_sharding, op3_secret_scan, op4_quality_fm, op5_quality_rules, op6_license_scan, op7_token_counts, op8_exact_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_vector_sharding, op3_secret_scan, op4_quality_fm, op5_quality_rules, op6_license_scan, op7_token_counts, op8_exact_dedup, op9_source_mixing, op10_best_fit_packing)}
 
 SQL = {
     "op8_exact_dedup": r"""
