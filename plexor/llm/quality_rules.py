@@ -179,3 +179,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, tail:
                 threshold = r["step"] * STEP - margin
                 break
     return measured.select("*", base_failed.alias("base_failed"), (~base_failed & (F.col("score") >= threshold)).alias("kept"))
+
+
+def kept_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs that are kept; all columns stay.  A document that shares its id with others stays if one of them does."""
+    gone = quality_rules(spark, docs, labels, **options).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id")
+    gone = Store(spark, "rejected").put(gone, "ids")
+    return with_ids(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plexor.llm import licenses, quality_fm, secrets
 from plexor.llm.exact_dedup import exact_dedup
 from plexor.llm.mixing import mix
+from plexor.llm.ngram_join import near_duplicates
 from plexor.llm.packing import pack_documents
 from plexor.llm.quality_rules import quality_rules
 from plexor.llm.sharding import shard
@@ -23,6 +24,10 @@ def op1_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, _documents(spark, sf_dir))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return secrets.digest(secrets.secret_scan(docs, secrets.train(docs)))
@@ -69,7 +74,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, _documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_sharding, op3_secret_scan, op4_quality_fm, op5_quality_rules, op6_license_scan, op7_token_counts, op8_exact_dedup, op9_source_mixing, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_vector_sharding, op2_ngram_jaccard_join, op3_secret_scan, op4_quality_fm, op5_quality_rules, op6_license_scan, op7_token_counts, op8_exact_dedup, op9_source_mixing, op10_best_fit_packing)}
 
 SQL = {
     "op8_exact_dedup": r"""
