@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexor.llm.store import Store, with_ids
@@ -132,27 +132,31 @@ def fit(spark: SparkSession, docs: DataFrame, trusted: DataFrame, store: Store)
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
 
 
+def _measured(column: pa.Array, table: np.ndarray) -> list[pa.Array]:
+    """SCHEMA without doc_id of a column of texts."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+    for slab in slabs(column):
+        slab.prepare(lower=False)
+        starts, ends, bounds = slab.words()
+        w = slab.hashes(starts, ends)
+        n = np.diff(bounds)
+        rules = [n, slab.counted(_POINT[slab.data] & ~_SPACE[slab.data]), slab.counted(_SYMBOL[slab.data]), _dup_lines(slab), _repeat_words(w, bounds)]
+        slab.prepare(lower=True)
+        g1, b1, g2, b2 = grams(slab.hashes(starts, ends), bounds)
+        score = (_sums(table[g1], b1) + _sums(table[g2], b2)) / np.maximum(np.diff(b1) + np.diff(b2), 1)
+        for have, new in zip(parts, [*rules, score]):
+            have.append(new)
+    kinds = [pa.int64()] * 5 + [pa.float64()]
+    return [pa.array(np.concatenate(p) if p else [], k) for p, k in zip(parts, kinds)]
+
+
 def measure(docs: DataFrame, ratio: np.ndarray | None) -> DataFrame:
     """SCHEMA for every row of docs (doc_id, text)."""
     table = np.zeros(BUCKETS) if ratio is None else ratio
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for slab in slabs(batch.column(1)):
-                slab.prepare(lower=False)
-                starts, ends, bounds = slab.words()
-                w = slab.hashes(starts, ends)
-                n = np.diff(bounds)
-                rules = [n, slab.counted(_POINT[slab.data] & ~_SPACE[slab.data]), slab.counted(_SYMBOL[slab.data]), _dup_lines(slab), _repeat_words(w, bounds)]
-                slab.prepare(lower=True)
-                g1, b1, g2, b2 = grams(slab.hashes(starts, ends), bounds)
-                score = (_sums(table[g1], b1) + _sums(table[g2], b2)) / np.maximum(np.diff(b1) + np.diff(b2), 1)
-                for have, new in zip(parts, [*rules, score]):
-                    have.append(new)
-            kinds = [pa.int64()] * 5 + [pa.float64()]
-            arrays = [pa.array(np.concatenate(p) if p else [], k) for p, k in zip(parts, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [x.split()[0] for x in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_measured(batch.column(1), table)], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(scan, SCHEMA)
 
@@ -161,28 +165,44 @@ def measure(docs: DataFrame, ratio: np.ndarray | None) -> DataFrame:
 STEP = 1 / 1024
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, tail: int = 1000, margin: float = 0.06) -> DataFrame:
-    """doc_id, the counts, score, base_failed and kept of every row of docs (doc_id, text)."""
+def _base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
+def decide(spark: SparkSession, docs: DataFrame, labels: DataFrame, tail: int, margin: float) -> tuple[np.ndarray | None, float, DataFrame]:
+    """(the model, the threshold, the measured documents as a written table)."""
     store = Store(spark, "quality-rules")
     trusted = store.put(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(True)), "trusted")
     ratio = fit(spark, docs, trusted, store)
     measured = store.put(measure(docs, ratio), "measured")
-    base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    threshold = -float("inf")
-    if ratio is not None:
-        step = F.floor(F.col("score") / STEP)
-        low = with_ids(measured.where(~base_failed), trusted, ["doc_id"]).groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy("step").collect()  # as many rows as steps
-        seen, most = 0, sum(r["n"] for r in low) / tail
-        for r in low:
-            seen += r["n"]
-            if seen > most:
-                threshold = r["step"] * STEP - margin
-                break
-    return measured.select("*", base_failed.alias("base_failed"), (~base_failed & (F.col("score") >= threshold)).alias("kept"))
-
-
-def kept_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept; all columns stay.  A document that shares its id with others stays if one of them does."""
-    gone = quality_rules(spark, docs, labels, **options).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id")
-    gone = Store(spark, "rejected").put(gone, "ids")
-    return with_ids(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+    if ratio is None:
+        return ratio, -float("inf"), measured
+    step = F.floor(F.col("score") / STEP)
+    passed = with_ids(measured.where(~_base_failed()), trusted, ["doc_id"])
+    steps = passed.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy("step").collect()  # as many rows as steps
+    seen, most = 0, sum(r["n"] for r in steps) / tail
+    for r in steps:
+        seen += r["n"]
+        if seen > most:
+            return ratio, r["step"] * STEP - margin, measured
+    return ratio, -float("inf"), measured
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, tail: int = 1000, margin: float = 0.06) -> DataFrame:
+    """doc_id, the counts, score, base_failed and kept of every row of docs (doc_id, text)."""
+    _, threshold, measured = decide(spark, docs, labels, tail, margin)
+    return measured.select("*", _base_failed().alias("base_failed"), (~_base_failed() & (F.col("score") >= threshold)).alias("kept"))
+
+
+def kept_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, tail: int = 1000, margin: float = 0.06) -> DataFrame:
+    """The rows of docs that quality_rules() keeps, whatever their ids; all columns stay."""
+    ratio, threshold, _ = decide(spark, docs, labels, tail, margin)
+    table = np.zeros(BUCKETS) if ratio is None else ratio
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, _, _, _, repeated, score = (x.to_numpy() for x in _measured(batch.column(at), table))
+            yield batch.filter(pa.array((n >= 10) & (100 * repeated <= 20 * n) & (score >= threshold)))
+
+    return docs.mapInArrow(keep, docs.schema)
