@@ -102,8 +102,8 @@ def mutate(bins: Bins, lengths: list[int], size: int, rng: random.Random) -> Bin
     extra = rng.sample(order[n:], min(len(order) - n, n))
     displaced += [i for b in extra for i in b]
     gone = {id(b) for b in order[:n] + extra}
-    rng.shuffle(displaced)
-    displaced.sort(key=lambda i: -lengths[i] * rng.uniform(0.9, 1.1))
+    spread = rng.choice((0.1, 0.5, 1.0))
+    displaced.sort(key=lambda i: -lengths[i] * (1 + spread * rng.uniform(-1, 1)))
     return best_fit(displaced, lengths, size, [list(b) for b in bins if id(b) not in gone])
 
 
@@ -143,7 +143,7 @@ def _epoch(state: DataFrame, size: int, generations: int, seed: int) -> DataFram
         for batch in batches:
             out = []
             for block, island, items, elites in zip(*(batch.column(i) for i in range(4))):
-                lengths = items.values.field("length").to_pylist()
+                lengths = items.values.flatten()[0].to_pylist()
                 pool = []
                 for numbers in elites.as_py() or []:
                     bins: Bins = [[] for _ in range(max(numbers, default=-1) + 1)]
@@ -166,9 +166,8 @@ def _bins(state: DataFrame) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, items, elites in zip(*(batch.column(i) for i in range(3))):
-                length = items.values.field("length").to_numpy().astype(np.int64)
-                uid = items.values.field("uid").to_numpy()
-                number = elites.values.values.to_numpy().astype(np.int64)
+                length, uid = (x.to_numpy() for x in items.values.flatten())
+                number = elites.values.flatten().to_numpy().astype(np.int64)
                 fill = np.bincount(number, length).astype(np.int64)
                 order = np.lexsort((uid, -length, number))
                 run = np.cumsum(length[order]) - length[order]
@@ -203,7 +202,7 @@ def pack(spark: SparkSession, items: DataFrame, size: int = 4096, block: int = 4
         left = rest.count() if blocks > 1 else 0
         sequence = (F.lit(level) * F.lit(1 << 56) + F.col("block") * F.lit(1 << 16) + F.col("bin")).cast("long")
         out = placed.select("uid", sequence.alias("sequence_id"), "offset", full.alias("full"))
-        if not left or left > n // 2 or level == 100:
+        if not left or left > 0.7 * n:  # else each level has fewer items
             done.append(out.drop("full"))
             break
         done.append(out.where("full").drop("full"))
