@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plexor.llm.store import Store, with_ids
+from plexor.llm.store import Store, free, with_ids
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -92,11 +92,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
 def dropped_copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """docs without the rows whose text an earlier document has; all columns stay."""
     verdict = exact_dedup(spark, docs, **options)
-    kept = verdict.where("kept").select("doc_id", F.col("text_sha256").alias("__sha"))
-    kept = Store(spark, "kept").put(kept, "kept")
-    out = with_ids(docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256)).withColumn("__id", F.coalesce("doc_id", F.lit(-1).cast("long"))), kept.withColumn("__id", F.coalesce("doc_id", F.lit(-1).cast("long"))).select("__id", "__sha"), ["__id", "__sha"])
+    digest, name = free(docs, "__sha"), free(docs, "__id")
+    known = F.coalesce("doc_id", F.lit(-1).cast("long"))
+    kept = Store(spark, "kept").put(verdict.where("kept").select(known.alias(name), F.col("text_sha256").alias(digest)).distinct(), "kept")
+    out = with_ids(docs.withColumn(digest, F.sha2(normalised(F.col("text")), 256)).withColumn(name, known), kept, [name, digest])
     # Only repeated rows (same id, same text) are left to tell apart; they are rare, so look before shuffling texts.
     repeated = verdict.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1").limit(1)
     if not repeated.isEmpty():
-        out = out.dropDuplicates(["__id", "__sha"])
+        out = out.dropDuplicates([name, digest])
     return out.select(*docs.columns)

@@ -26,7 +26,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plexor.llm.store import Store
+from plexor.llm.store import Store, free, with_ids
 
 WORD = r"[^\x20\x09-\x0D]++"
 #: The sources' weights, repeating in code-point order.
@@ -169,8 +169,9 @@ def mix(spark: SparkSession, docs: DataFrame, members: Column | None = None, epo
 def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as the mix has them: left out, once or repeated; all columns stay.
 
-    Documents are told apart by doc_id; rows that share an id count as one decision each and are repeated alike.
+    Documents are told apart by doc_id; rows that share an id are repeated alike, and rows without one are left out.
     """
-    decided = mix(spark, docs, **options).where("taken > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("__times"))
+    times, copy = free(docs, "__times"), free(docs, "__copy")
+    decided = mix(spark, docs, **options).where("taken > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias(times))
     decided = Store(spark, "mixed").put(decided, "times")
-    return docs.join(decided, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    return with_ids(docs, decided, ["doc_id"], "inner").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -73,9 +73,9 @@ def _repeat_words(w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _dup_lines(slab: Slab) -> np.ndarray:
     """Of each document, the lines with a word that equal an earlier line."""
     inner = np.flatnonzero(slab.data == 10)
-    starts = np.sort(np.concatenate([slab.offsets[:-1], inner + 1]))
+    starts = np.unique(np.concatenate([slab.offsets[:-1], inner + 1]))  # a final newline of one document is the start of the next
     doc = np.searchsorted(slab.offsets, starts, "right") - 1
-    ok = doc < len(slab)  # a final newline's empty line may begin where the last document ends
+    ok = doc < len(slab)
     starts, doc = starts[ok], doc[ok]
     next_break = np.append(inner, len(slab.data))
     ends = np.minimum(next_break[np.searchsorted(inner, starts)], slab.offsets[doc + 1])

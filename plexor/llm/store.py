@@ -53,3 +53,11 @@ def with_ids(df: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi
     """df joined with a table of keys: broadcast if counted to be at most `most` rows, else by shuffle."""
     small = ids.limit(most + 1).count() <= most
     return df.join(F.broadcast(ids) if small else ids, on, how)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """The name, or one like it that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
