@@ -72,7 +72,8 @@ def identifiers(words: list[str], n: int, seed: int = 7) -> list[str]:
 
 def train(docs: DataFrame, sample_docs: int = 400, samples: int = 20_000) -> tuple[CharModel, CharModel]:
     """(random, ordinary) models; the words of ordinary identifiers are those of at most sample_docs documents, picked by a hash of the id."""
-    picked = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    ids = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+    picked = docs.join(F.broadcast(ids), "doc_id").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"))  # at most sample_docs rows
     found: set[str] = {"user", "name", "value", "index", "config", "version", "document", "request", "handler", "default"}
     for r in picked.collect():
         found.update(w for w in re.findall(r"[A-Za-z]{2,}", r["text"]) if len(w) <= 24)
