@@ -76,7 +76,7 @@ def train(docs: DataFrame, sample_docs: int = 400, samples: int = 20_000) -> tup
     picked = docs.join(F.broadcast(ids), "doc_id").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"))  # at most sample_docs rows
     found: set[str] = {"user", "name", "value", "index", "config", "version", "document", "request", "handler", "default"}
     for r in picked.collect():
-        found.update(w for w in re.findall(r"[A-Za-z]{2,}", r["text"]) if len(w) <= 24)
+        found.update(w for w in re.findall(r"(?<![A-Za-z0-9])[A-Za-z]{2,}(?![A-Za-z0-9])", r["text"]) if len(w) <= 24)
     return CharModel(random_strings(samples)), CharModel(identifiers(sorted(found), samples))
 
 

@@ -22,7 +22,7 @@ def test_spans(spark):
     docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, spans string, kind int")
     models = secrets.train(docs)
     got = {r.doc_id: r for r in secrets.digest(secrets.secret_scan(docs, models)).collect()}
-    assert got[1].spans == "assign:2:23" and (got[1].n_assign, got[1].n_access, got[1].n_hex) == (1, 0, 0)
+    assert got[1].spans == "assign:2:22" and (got[1].n_assign, got[1].n_access, got[1].n_hex) == (1, 0, 0)
     assert (got[2].n_access, got[2].n_hex) == (1, 1)
     assert got[3].spans == f"random:4:{4 + len(KEY)}" and got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[4].spans == got[5].spans == ""
