@@ -165,7 +165,8 @@ def join_classes(store: Store, regions: DataFrame, sets: DataFrame, percent: int
     pivot = regions.groupBy("g").agg(F.max(F.struct("common", (-F.col("c")).alias("c"))).alias("p")).select("g", (-F.col("p.c")).alias("pivot"))
     seen = regions.join(pivot, "g").where("c <> pivot")
     found = space.compare(space.fresh(seen.select(F.col("pivot").alias("a"), F.col("c").alias("b"))))
-    rings = seen.join(found.select(F.col("a").alias("pivot"), F.col("b").alias("c"), "d"), ["pivot", "c"]).withColumn("ring", F.floor(F.col("d") / reach + 1e-9))
+    ends = seen.withColumn("a", F.least("pivot", "c")).withColumn("b", F.greatest("pivot", "c"))  # as fresh() orders them
+    rings = ends.join(found.select("a", "b", "d"), ["a", "b"]).withColumn("ring", F.floor(F.col("d") / reach + 1e-9))
     rings = rings.withColumn("at", F.explode(F.array("ring", F.col("ring") - 1))).where("at >= 0")
     state = rings.select(F.xxhash64("g", "at").alias("g"), "c", "n", "shared", "common", (F.col("at") == F.col("ring")).alias("core"), F.col("c").alias("comp"), "d")
     state = store.put(space.merge(state, found), "rings")

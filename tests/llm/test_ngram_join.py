@@ -65,6 +65,32 @@ def test_against_brute_force(spark, seed, options):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
 
 
+def quoted(seed, families=12):
+    """Pairs of near copies, chains of versions of which each links with the next alone, and last a text that quotes one of each."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts, quotes = [], []
+    for f in range(families):
+        w = [word() for _ in range(120)]
+        chain = [list(w)]
+        for step in range(1 if f % 2 else 4):
+            w = list(w)
+            w[10 + 20 * step] = w[12 + 20 * step] = word()
+            w[16 + 20 * step] = word()
+            chain.append(w)
+        texts += chain
+        quotes += chain[rng.randrange(len(chain))]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts + [quotes])]
+    return rows
+
+
+@pytest.mark.parametrize("seed, turned, options", [(3, False, {}), (4, True, {}), (5, False, {"small": 2, "pivots": 2})])
+def test_a_long_quoting_text_hides_no_link(spark, seed, turned, options):
+    rows = quoted(seed)
+    got = near_duplicates(spark, table(spark, rows[::-1] if turned else rows), **options).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(100))
     docs = table(spark, [(3, text), (2, text + " end"), (9, "other words here"), (7, None)])
