@@ -10,8 +10,9 @@ documents plus a rest, for which documents are selected in the order of a seeded
 
 The order is cut in two steps, so that no source's documents meet in one task: sums by
 source and 4096 ranges of the hash find the range in which the rest runs out, and only the
-documents of that range are ordered one by one.  The first document that does not fit ends
-the selection, and the largest of those left that still fit close the gap.  Reruns agree.
+documents of that range are ordered one by one.  A document that does not fit is passed over:
+from there the cut is repeated for what is still open, among the documents no longer than
+that, until none that fits is left.  Reruns agree.
 
 Defined cases: null text has size 0; null sources are a source of their own, last in order;
 documents of size 0 are never taken; repeated rows count each; without any words all
@@ -32,7 +33,9 @@ WORD = r"[^\x20\x09-\x0D]++"
 #: The sources' weights, repeating in code-point order.
 WEIGHTS = (5.0, 2.0, 1.0)
 RANGES = 4096
-RUNGS = 8
+#: A document's place in the order of selection, and a round of it.
+SPOT = "struct<range: long, key: long, row: long>"
+ROUND = f"struct<gap: double, after: {SPOT}, until: {SPOT}>"
 
 
 def targets(sizes: dict[str | None, int], epochs: int = 3, weights: tuple[float, ...] = WEIGHTS) -> dict[str | None, float]:
@@ -106,6 +109,41 @@ def min_cost_flow(supply: dict[frozenset, int], quota: dict[str | None, float],
             arcs[e ^ 1][1] += room
 
 
+def place() -> Column:
+    return F.struct("range", "key", "row")
+
+
+def selections(spark: SparkSession, rows: DataFrame, rests: dict[tuple, float]) -> dict[tuple, list[tuple]]:
+    """The rounds (gap, after, until) of each pattern (sources) of rows that has a rest to select.
+
+    A round takes the documents no longer than its gap between two places.  It ends at the first
+    that does not fit with those before it, which the next round passes over; the last round
+    of a pattern ends with its documents, or nothing that is left fits its gap.
+    """
+    out: dict[tuple, list[tuple]] = {p: [] for p in rests}
+    # The driver holds a row for each pattern, so these are broadcast: no pattern's documents are shuffled to one task.
+    live: dict[tuple, tuple] = {p: (gap, None) for p, gap in rests.items()}
+    run = Window.partitionBy("sources").orderBy("range")
+    order = Window.partitionBy("sources").orderBy("key", "row")
+    while live:
+        state = spark.createDataFrame([(list(p), *at) for p, at in live.items()], f"sources array<string>, gap double, after {SPOT}")
+        open_ = rows.where("size > 0").join(F.broadcast(state), "sources").where((F.col("size") <= F.col("gap")) & (F.isnull("after") | (place() > F.col("after"))))
+        spread = open_.groupBy("sources", "range").agg(F.first("gap").alias("gap"), F.sum("size").alias("size"))
+        cut = spread.withColumn("sum", F.sum("size").over(run)).where(F.col("sum") > F.col("gap"))
+        cut = cut.groupBy("sources").agg(F.min("range").alias("cut"), (F.min_by("sum", "range") - F.min_by("size", "range")).alias("before"))
+        cuts = [(r["sources"], r["cut"], r["before"]) for r in cut.collect()]  # one row for each pattern
+        found = {}
+        if cuts:
+            at_cut = open_.join(F.broadcast(spark.createDataFrame(cuts, "sources array<string>, cut long, before long")), "sources").where("range = cut")
+            past = at_cut.withColumn("sum", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("sum") > F.col("gap"))
+            ends = past.groupBy("sources").agg(F.min(F.struct(place().alias("until"), (F.col("sum") - F.col("size")).alias("got"))).alias("end"))
+            found = {tuple(r["sources"]): (tuple(r["end"]["until"]), r["end"]["got"]) for r in ends.collect()}  # one row for each pattern
+        for p, (gap, after) in live.items():
+            out[p].append((gap, after, found[p][0] if p in found else None))
+        live = {p: (live[p][0] - got, until) for p, (until, got) in found.items() if live[p][0] - got >= 1}
+    return out
+
+
 def mix(spark: SparkSession, docs: DataFrame, members: Column | None = None, epochs: int = 3, weights: tuple[float, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
     """doc_id, size, sources, source_size, target, taken of every row of docs (doc_id, text, and what members needs).
 
@@ -136,32 +174,13 @@ def mix(spark: SparkSession, docs: DataFrame, members: Column | None = None, epo
         plan.append((list(pattern), sizes[main], quota[main], whole, float(max(0.0, total - whole * size)) if whole < epochs else 0.0))
     planned = spark.createDataFrame(plan, "sources array<string>, source_size long, target double, whole int, rest double")
 
-    run = Window.partitionBy("sources").orderBy("range")
-    cut = spread.select("sources", "range", "size", (F.sum("size").over(run) - F.col("size")).alias("before")).join(planned, "sources")
-    cut = cut.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("size") > F.col("rest"))).groupBy("sources").agg(F.min("range").alias("cut"), F.min_by("before", "range").alias("before"))
-    planned = store.put(planned.join(cut, "sources", "left"), "plan")
+    planned = store.put(planned, "plan")
     # Plans have a row for each pattern: Spark broadcasts them when they are small, which it measures.
-    joined = rows.join(planned, "sources")
-    sure = F.when(F.col("rest") <= 0, False).otherwise(F.coalesce(F.col("range") < F.col("cut"), F.lit(True)))
-    clear = joined.where(F.coalesce(F.col("range") != F.col("cut"), F.lit(True))).withColumn("more", sure)
-    order = Window.partitionBy("sources").orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_cut = joined.where("range = cut").withColumn("more", (F.col("rest") > 0) & (F.col("before") + F.sum("size").over(order) <= F.col("rest")))
-    chosen = clear.unionByName(at_cut)
-
-    # What the cut leaves open is closed by at most RUNGS documents: the largest of those not taken that fit the gap, half of it, and so on.
-    got = F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))
-    gaps = store.put(chosen.groupBy("sources").agg((F.first("rest") - got).alias("gap")), "gaps")
-    free = chosen.join(gaps, "sources").where(~F.col("more") & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
-    rungs = [F.max(F.when(F.col("size") <= F.col("gap") / (1 << k), F.struct("size", "key", "row"))).alias(f"rung{k}") for k in range(RUNGS)]
-    picks = []
-    for r in free.groupBy("sources").agg(F.first("gap").alias("gap"), *rungs).collect():  # one row for each pattern
-        gap = r["gap"]
-        for one in dict.fromkeys(r[f"rung{k}"] for k in range(RUNGS)):
-            if one and one["size"] <= gap:
-                gap -= one["size"]
-                picks.append((one["row"],))
-    filled = chosen.join(spark.createDataFrame(picks, "row long").withColumn("last", F.lit(True)), "row", "left")
-    more = F.col("more") | F.coalesce("last", F.lit(False))
+    rounds = selections(spark, rows, {tuple(p): rest for p, _, _, _, rest in plan if rest > 0})
+    kept = spark.createDataFrame([(list(p), r) for p, r in rounds.items()], f"sources array<string>, rounds array<{ROUND}>")
+    filled = rows.join(planned, "sources").join(store.put(kept, "rounds"), "sources", "left")
+    fits = F.exists("rounds", lambda r: (F.col("size") <= r["gap"]) & (F.isnull(r["after"]) | (place() > r["after"])) & (F.isnull(r["until"]) | (place() < r["until"])))
+    more = F.coalesce(fits, F.lit(False)) & (F.col("size") > 0)
     taken = F.col("size") * (F.col("whole") + more.cast("int"))
     return filled.select("doc_id", "size", "sources", "source_size", "target", taken.cast("long").alias("taken"))
 

@@ -50,6 +50,19 @@ def test_mix(spark):
     assert mix(spark, docs.where(F.lit(False))).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_a_long_document_is_passed_over(spark, seed):
+    """Source a may draw 1200 words: its 200 short documents have them, its long one never fits."""
+    rows = [(i, "w " * 10, "a") for i in range(200)] + [(200, "w " * 1500, "a")] + [(300 + i, "w " * 100, "b") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(spark, docs, weights=(1200.0, 3500.0), seed=seed).collect()
+    assert sum(r.taken for r in got if r.sources == ["a"]) == 1200
+    assert sum(r.taken for r in got if r.sources == ["b"]) == 3500
+    again = mix(spark, docs, weights=(1234.5, 3465.5), seed=seed).collect()
+    left = 1234.5 - sum(r.taken for r in again if r.sources == ["a"])
+    assert 0 <= left < min(r.size for r in again if r.sources == ["a"] and not r.taken)
+
+
 def test_overlapping_membership(spark):
     docs = spark.createDataFrame([(i, "w " * 10, ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b"]) for i in range(300)], "doc_id long, text string, sources array<string>")
     got = mix(spark, docs, members=F.col("sources"), weights=(2.0, 1.0)).collect()
