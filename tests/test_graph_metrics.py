@@ -116,3 +116,21 @@ def test_kmeans(spark):
     h = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, 2.0 + i]) for i in range(20)], "node long, h array<double>")
     got = {r.node: r.label for r in kmeans_labels(h, 2, normalise=True, starts=2).collect()}
     assert len({got[i] for i in range(0, 20, 2)}) == 1 and got[0] != got[1]
+
+
+def test_clean_up_sees_the_edges_of_every_part(spark):
+    from collections import Counter
+
+    from plexor.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    layer = {r.o_orderkey: r.o_orderpriority for r in spark.read.parquet(f"{d}/orders.parquet").collect()}
+    parts = {}
+    for r in spark.read.parquet(f"{d}/lineitem.parquet").collect():
+        parts.setdefault(r.l_orderkey, set()).add(r.l_partkey)
+    want = Counter((layer[o], u, v) for o, ps in parts.items() for u in ps for v in ps)
+    got = lambda name, n: {(r.layer, r.u, r.v): r[n] for r in QUERIES[name](spark, d).collect()}
+    assert got("ag2_sum_dups_whole", "w") == want
+    assert got("ag1_clip_dups_whole", "w") == dict.fromkeys(want, 1.0)
+    assert got("pf3_no_loops_whole", "n") == {k: n for k, n in want.items() if k[1] != k[2]}
+    assert any(u % 10 for _, u, _ in want)
