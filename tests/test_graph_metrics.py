@@ -134,3 +134,18 @@ def test_clean_up_sees_the_edges_of_every_part(spark):
     assert got("ag1_clip_dups_whole", "w") == dict.fromkeys(want, 1.0)
     assert got("pf3_no_loops_whole", "n") == {k: n for k, n in want.items() if k[1] != k[2]}
     assert any(u % 10 for _, u, _ in want)
+
+
+def test_louvain_as_plans_runs_until_no_move_gains(spark):
+    """In the end no two communities are better as one: on a long path that takes more rounds and levels than a few."""
+    n = 4000
+    label = {r.node: r.label for r in louvain_distributed(edges_of(spark, {"A": [(i, i + 1) for i in range(n)]})).collect()}
+    filled, links = {}, {}
+    for i in range(n):
+        for end in (i, i + 1):
+            filled[label[end]] = filled.get(label[end], 0) + 1
+        pair = frozenset((label[i], label[i + 1]))
+        links[pair] = links.get(pair, 0) + 1
+    for pair, w in links.items():
+        if len(pair) == 2:
+            assert w <= math.prod(filled[x] for x in pair) / (2 * n) + 1e-9
