@@ -1,17 +1,22 @@
 """Exact deduplication on an extendible-hash index kept in shared files.
 
-Keys are hashes of the normalised text (each run of ``[\\x20\\x09-\\x0D]`` is one space).
-The directory starts with one bucket and doubles while some bucket holds more than
-`capacity` entries, up to `max_depth` bits; a bucket's local depth is the fewest leading
-bits of the hash that leave it small enough, so only overfull buckets split.  Copies are
-pre-aggregated into one entry before anything is shuffled, so a text that a third of all
-rows share is one entry of its bucket.  The index is written to shared files by owner
-tasks, each of which holds a range of hash prefixes and chains the entries whose hash is
-the same.  Hashes never decide alone: the bytes of all texts under an entry with more than
-one row are compared, and texts that differ get chain positions of their own.
-
-Defined cases: null text counts as empty; rows with null doc_id take part, and stay only if no row
-of the group has an id; of repeated rows (same id, same text) exactly one stays; an empty table gives an empty result;
+Keys are 64-bit hashes of the normalised text (each run of ``[\\x20\\x09-\\x0D]`` is one space).
+
+1. Copies are pre-aggregated into one entry a key, map-side first, so a text that a third of
+   all rows share is one entry of its bucket.
+2. The directory starts with one bucket and doubles while some bucket holds more than
+   `capacity` keys.  A slot is what the first 16 bits of a key name; its local depth is the
+   fewest leading bits that leave its buckets small enough, so only overfull buckets split.
+   Depth has no limit but the key's 64 bits; the directory has a row a slot, 65,536 at most.
+3. Owner tasks hold ranges of buckets.  Hashes never decide alone: the distinct texts under
+   each key with more than one row are brought to the owner, which compares their bytes and
+   chains those that differ.  Its entries are the index, written to shared files by range.
+4. Each row looks its bucket up in the directory and finds its entry there.  Entries of
+   over 1/4096 of all rows (4096 at most) come to the rows; other rows go to the owners.
+
+Defined cases: null text counts as empty; rows with null doc_id take part, and stay only if
+no row of the group has an id; of repeated rows (same id, same text) exactly one stays; an
+empty table gives an empty result; texts of any length are hashed and compared whole;
 further columns of the input are ignored, whatever their names.
 """
 
@@ -20,84 +25,115 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plexor.llm.store import Store, free, with_ids
+from plexor.llm.store import Store, without, with_ids
 
 SPACES = r"[\x20\x09-\x0D]+"
+SLOT_BITS = 16
+#: A key that this share of all rows has is answered where the rows are.
+HOT = 4096
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
-def directory(loads: dict[int, int], max_depth: int, capacity: int) -> list[tuple[int, int, int]]:
-    """(slot of max_depth bits, bucket prefix, local depth) of every slot in use.
+def directory(loads: dict[int, int], capacity: int, bits: int = SLOT_BITS) -> dict[int, int]:
+    """Local depth of every slot in use; bits + 1 where its one bucket must split further.
 
-    loads: entries by slot, at most 2^max_depth of them.
+    loads: keys by slot, 2^bits of them at most.
     """
-    depth = {}
-    by = {max_depth: dict(loads)}
-    for d in range(max_depth - 1, -1, -1):
+    by = {bits: dict(loads)}
+    for d in range(bits - 1, -1, -1):
         by[d] = {}
         for slot, n in by[d + 1].items():
             by[d][slot >> 1] = by[d].get(slot >> 1, 0) + n
-    for slot in loads:
-        depth[slot] = next((d for d in range(max_depth) if by[d][slot >> (max_depth - d)] <= capacity), max_depth)
-    return [(slot, slot >> (max_depth - d), d) for slot, d in sorted(depth.items())]
+    return {slot: next((d for d in range(bits + 1) if by[d][slot >> (bits - d)] <= capacity), bits + 1) for slot in loads}
 
 
-def build_index(spark: SparkSession, docs: DataFrame, capacity: int = 16_384, max_depth: int = 16, link_chars: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(keys: one row per document; index: one row per distinct text), both in shared files.
+def slot_of(h: Column, bits: int = SLOT_BITS) -> Column:
+    return F.shiftrightunsigned(h, 64 - bits)
 
-    link_chars: leading hex digits of the SHA-256 that form the key; fewer only to test collisions.
+
+def bucket_of(h: Column, depth: Column) -> Column:
+    """The first `depth` bits of h; buckets of different depth share no keys, so depth and prefix name one."""
+    return F.when(depth == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", h, (64 - depth).cast("int")))
+
+
+def depths(spark: SparkSession, hashes: DataFrame, capacity: int, bits: int = SLOT_BITS) -> DataFrame:
+    """slot, depth of every slot in use."""
+    slot = slot_of(F.col("h"), bits)
+    loads = {r["slot"]: r["n"] for r in hashes.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect()}  # 2^bits rows at most
+    found = directory(loads, capacity, bits)
+    # No fewer bits can do than those that an even split needs.
+    open_ = {s: bits + max(1, (-(-loads[s] // capacity) - 1).bit_length()) for s, d in found.items() if d > bits}
+    while open_:
+        at = spark.createDataFrame(list(open_.items()), "slot long, depth int")
+        deep = hashes.withColumn("slot", slot).join(F.broadcast(at), "slot").groupBy("slot", bucket_of(F.col("h"), F.col("depth")).alias("bucket")).agg(F.count("*").alias("n"))
+        most = {r["slot"]: r["most"] for r in deep.groupBy("slot").agg(F.max("n").alias("most")).collect()}  # 2^bits rows at most
+        found |= {s: d for s, d in open_.items() if most[s] <= capacity or d == 64}
+        open_ = {s: d + 1 for s, d in open_.items() if most[s] > capacity and d < 64}
+    return spark.createDataFrame(list(found.items()), "slot long, depth int")
+
+
+def placed(df: DataFrame, slots: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
+    """df with the depth and bucket of each row's key h, looked up in the directory."""
+    found = df.withColumn("slot", slot_of(F.col("h"), bits)).join(F.broadcast(slots), "slot")  # 2^bits rows at most
+    return found.withColumn("bucket", bucket_of(F.col("h"), F.col("depth"))).drop("slot")
+
+
+def build_index(spark: SparkSession, docs: DataFrame, capacity: int = 16_384, slot_bits: int = SLOT_BITS, key_chars: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keys: a row for each document; directory; index: a row for each distinct text), all in shared files.
+
+    key_chars: leading hex digits of the SHA-256 that the key is made from; fewer only to test collisions.
     """
     store = Store(spark, "extendible-hash")
-    plain = docs.select("doc_id", normalised(F.col("text")).alias("body"))
-    linked = lambda df: df.withColumn("sha", F.sha2("body", 256)).withColumn("link", F.substring("sha", 1, link_chars)).withColumn("h", F.xxhash64("link"))
-    keys = store.put(linked(plain).select("doc_id", F.monotonically_increasing_id().alias("row"), "h", "link", "sha", F.lit(0).alias("chain")), "keys")
-
-    # Bytes are compared wherever a key has more than one row: one row for each distinct text survives map-side.
-    shared = store.put(keys.groupBy("h", "link").agg(F.count("*").alias("n")).where("n > 1").select("h", "link"), "shared-keys")
-    bodies = with_ids(linked(plain), shared, ["h", "link"]).groupBy("h", "link", "body").agg(F.count("*").alias("n"))
-    collided = store.put(bodies.groupBy("h", "link").agg(F.count("*").alias("texts")).where("texts > 1").select("h", "link"), "collided")
+    raw = F.xxhash64("text")
+    hashed = lambda df: df.withColumn("sha", F.sha2("body", 256)).withColumn("h", F.xxhash64(F.substring("sha", 1, key_chars)))
+    plain = docs.select("doc_id", raw.alias("raw"), normalised(F.col("text")).alias("body"))
+    keys = store.put(hashed(plain).select("doc_id", F.monotonically_increasing_id().alias("row"), "raw", "h", "sha", F.lit(0).alias("chain")), "keys")
+
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    hashes = store.put(keys.groupBy("h").agg(first, F.count("*").alias("group_size")), "hashes")
+    slots = store.put(depths(spark, hashes, capacity, slot_bits), "directory")
+
+    # Owner tasks: one row for each distinct text under a key survives map-side.
+    shared = hashes.where("group_size > 1").select("h")
+    copied = store.put(with_ids(keys, shared, ["h"]).select("raw").distinct(), "copied")
+    bodies = hashed(with_ids(docs.select(raw.alias("raw"), "text"), copied, ["raw"]).select(normalised(F.col("text")).alias("body")))
+    bodies = placed(bodies, slots, slot_bits).groupBy("bucket", "h", "body").agg(F.count("*").alias("n"))
+    owner = Window.partitionBy("bucket", "h").orderBy("body")
+    chained = bodies.repartitionByRange("bucket", "h").select("h", "body", F.row_number().over(owner).alias("chain"))
+    collided = store.put(chained.where("chain > 1").select("h").distinct(), "collided")
     if not collided.isEmpty():
-        order = Window.partitionBy("h", "link").orderBy("body")
-        chains = with_ids(linked(plain), collided, ["h", "link"]).groupBy("h", "link", "body").agg(F.count("*").alias("n")).select("h", "link", "body", F.row_number().over(order).alias("chain"))
-        apart = with_ids(linked(plain).withColumn("row", F.monotonically_increasing_id()), collided, ["h", "link"]).join(chains, ["h", "link", "body"])
-        keys = store.put(with_ids(keys, collided, ["h", "link"], "left_anti").unionByName(apart.select("doc_id", "row", "h", "link", "sha", "chain")), "chained-keys")
-
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    entries = store.put(keys.groupBy("h", "link", "chain").agg(first.alias("first"), F.count("*").alias("group_size")), "entries")
-    slot = F.shiftrightunsigned("h", 64 - max_depth)
-    loads = {r["slot"]: r["n"] for r in entries.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect()}  # at most 2^max_depth
-    rows = directory(loads, max_depth, capacity)
-    table = spark.createDataFrame(rows, "slot long, bucket long, depth int")
-    placed = entries.withColumn("slot", slot).join(F.broadcast(table), "slot")  # at most 2^max_depth rows
-    owned = placed.repartitionByRange("slot").sortWithinPartitions("slot", "h", "link", "chain")
-    index = store.put(owned.select("bucket", "depth", "h", "link", "chain", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size"), "index")
-    return keys, index
+        chains = with_ids(chained, collided, ["h"])
+        again = docs.select("doc_id", raw.alias("raw"), normalised(F.col("text")).alias("body"), F.monotonically_increasing_id().alias("row"))
+        apart = with_ids(hashed(again), collided, ["h"]).join(chains, ["h", "body"])
+        keys = store.put(with_ids(keys, collided, ["h"], "left_anti").unionByName(apart.select("doc_id", "row", "raw", "h", "sha", "chain")), "chained-keys")
+    single = with_ids(hashes, collided, ["h"], "left_anti").withColumn("chain", F.lit(0))
+    several = with_ids(keys, collided, ["h"]).groupBy("h", "chain").agg(first, F.count("*").alias("group_size"))
+    entries = placed(single.unionByName(several), slots, slot_bits).repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h", "chain")
+    index = store.put(entries.select("bucket", "depth", "h", "chain", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size"), "index")
+    return keys, slots, index
+
+
+def verdicts(spark: SparkSession, docs: DataFrame, slot_bits: int = SLOT_BITS, **options) -> DataFrame:
+    """doc_id, raw (hash of the text as it is), keep_id, group_size, kept, text_sha256 of every row of docs."""
+    keys, slots, index = build_index(spark, docs, slot_bits=slot_bits, **options)
+    on = ["bucket", "depth", "h", "chain"]
+    probes = placed(keys, slots, slot_bits)
+    rows = index.agg(F.sum("group_size").alias("n")).first()["n"] or 0
+    hot = index.where(F.col("group_size") * HOT > rows)  # fewer than HOT entries
+    near = probes.join(F.broadcast(hot), on)
+    far = probes.join(F.broadcast(hot.select(on)), on, "left_anti").join(index.where(F.col("group_size") * HOT <= rows), on)
+    kept = F.col("row") == F.col("keep_row")
+    return near.unionByName(far).select("doc_id", "raw", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs (doc_id, text)."""
-    keys, index = build_index(spark, docs, **options)
-    return keys.join(index, ["h", "link", "chain"]).select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("row") == F.col("keep_row")).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-    )
+    return verdicts(spark, docs, **options).drop("raw")
 
 
 def dropped_copies(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose text an earlier document has; all columns stay."""
-    verdict = exact_dedup(spark, docs, **options)
-    digest, name = free(docs, "__sha"), free(docs, "__id")
-    known = F.coalesce("doc_id", F.lit(-1).cast("long"))
-    kept = Store(spark, "kept").put(verdict.where("kept").select(known.alias(name), F.col("text_sha256").alias(digest)).distinct(), "kept")
-    out = with_ids(docs.withColumn(digest, F.sha2(normalised(F.col("text")), 256)).withColumn(name, known), kept, [name, digest])
-    # Only repeated rows (same id, same text) are left to tell apart; they are rare, so look before shuffling texts.
-    repeated = verdict.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1").limit(1)
-    if not repeated.isEmpty():
-        out = out.dropDuplicates([name, digest])
-    return out.select(*docs.columns)
+    """docs without the rows whose normalised text another row has that stays; all columns stay."""
+    return without(docs, verdicts(spark, docs, **options))

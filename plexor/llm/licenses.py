@@ -21,6 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from plexor.llm.store import scan as batched
 from plexor.llm.words import slabs
 
 # Phrases and their labels; the first four are the base.
@@ -165,4 +166,4 @@ def license_scan(docs: DataFrame) -> DataFrame:
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, map(list, columns), kinds)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, SCHEMA)
+    return batched(docs.select("doc_id", "text"), scan, SCHEMA)

@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexor.llm.store import Store
-from plexor.llm.tokens import TokenTable
+from plexor.llm.store import Store, scan
+from plexor.llm.tokens import token_table
 from plexor.llm.words import slabs
 
 Bins = list[list[int]]
@@ -41,24 +41,24 @@ def cut_pieces(docs: DataFrame, path: str, size: int, end: int) -> DataFrame:
     """PIECES of every row of docs (doc_id, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, uid = TokenTable(path), TaskContext.get().partitionId() << 36
+        table, uid = token_table(path), TaskContext.get().partitionId() << 36
         for batch in batches:
-            names, rows = batch.column(0).to_pylist(), []
             for slab in slabs(batch.column(1)):
                 ids, bounds = table.ids(slab)
                 ids = np.insert(ids.astype("<u4"), bounds[1:], end)
                 bounds = bounds + np.arange(len(bounds))
-                for i in range(len(slab)):
-                    own = memoryview(ids[bounds[i] : bounds[i + 1]]).cast("B")
-                    for k, at in enumerate(range(0, len(own), 4 * size)):
-                        part = own[at : at + 4 * size]
-                        rows.append((uid, names[slab.first + i], k, at // 4, len(part) // 4, zlib.crc32(part)))
-                        uid += 1
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            columns = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], [x.split()[0] for x in PIECES.split(", ")])
+                pieces = -(-np.diff(bounds) // size)
+                doc = np.repeat(np.arange(len(slab)), pieces)
+                k = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = bounds[doc] + k * size
+                stop = np.minimum(start + size, bounds[doc + 1])
+                raw = memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(start.tolist(), stop.tolist())]
+                columns = [pa.array(uid + np.arange(len(doc))), batch.column(0).take(pa.array(slab.first + doc)), pa.array(k.astype(np.int32)), pa.array(k * size), pa.array(stop - start), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PIECES.split(", ")])
+                uid += len(doc)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return scan(docs.select("doc_id", "text"), cut, PIECES)
 
 
 def best_fit(items: list[int], lengths: list[int], size: int, bins: Bins) -> Bins:
@@ -157,7 +157,7 @@ def _epoch(state: DataFrame, size: int, generations: int, seed: int) -> DataFram
                 out.append([number])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["block", "island", "items", "elites"])
 
-    return state.mapInArrow(run, ISLANDS)
+    return scan(state, run, ISLANDS)
 
 
 def _bins(state: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def _bins(state: DataFrame) -> DataFrame:
                     ["uid", "length", "block", "bin", "offset", "fill"],
                 )
 
-    return state.select("block", "items", "elites").mapInArrow(spread, "uid long, length long, block long, bin long, offset long, fill long")
+    return scan(state.select("block", "items", "elites"), spread, "uid long, length long, block long, bin long, offset long, fill long")
 
 
 def pack(spark: SparkSession, items: DataFrame, size: int = 4096, block: int = 4000, islands: int = 2, epochs: int = 2, generations: int = 8, enough: float = 0.998) -> DataFrame:

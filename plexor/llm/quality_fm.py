@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plexor.llm.store import scan as batched
 from plexor.llm.words import Slab, mix, slabs
 
 WORDS = 1 << 16
@@ -145,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, metadata: list[str] = (), sample:
                 rows += [(c[at[i] : at[i + 1]].astype(np.int32).tobytes(), x[at[i] : at[i + 1]].astype(np.float32).tobytes()) for i in range(len(slab))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.num_columns - 1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "y", "c", "x"])
 
-    kept = chosen.select("doc_id", "text", *metadata, F.col("y").cast("int").alias("y")).mapInArrow(extract, "doc_id long, y int, c binary, x binary")
+    kept = batched(chosen.select("doc_id", "text", *metadata, F.col("y").cast("int").alias("y")), extract, "doc_id long, y int, c binary, x binary")
     got = sorted((r["doc_id"], r["y"], bytes(r["c"]), bytes(r["x"])) for r in kept.toLocalIterator())
     rows = [(np.frombuffer(c, np.int32), np.frombuffer(x, np.float32)) for _, _, c, x in got]
     return learn(rows, np.array([y for _, y, _, _ in got], float), rank, max(1, updates // max(1, len(got))), rate, decay, seed)
@@ -167,4 +168,4 @@ def score(docs: DataFrame, machine: Machine, metadata: list[str] = ()) -> DataFr
             p = 1 / (1 + np.exp(-np.clip(np.concatenate(z) if z else np.zeros(0), -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text", *metadata).mapInArrow(scan, "doc_id long, score double")
+    return batched(docs.select("doc_id", "text", *metadata), scan, "doc_id long, score double")

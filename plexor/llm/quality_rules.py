@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexor.llm.store import Store, with_ids
+from plexor.llm.store import scan as batched
 from plexor.llm.words import Slab, mix, slabs, windows
 
 BUCKETS = 1 << 16
@@ -118,7 +119,7 @@ def fit(spark: SparkSession, docs: DataFrame, trusted: DataFrame, store: Store)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.int64()))], ["slice", "counts"])
 
     kind = "slice int, counts array<long>"
-    counted = marked.mapInArrow(count, kind).repartition(SLICES, "slice").mapInArrow(add, kind)
+    counted = batched(marked, count, kind).repartition(SLICES, "slice").mapInArrow(add, kind)
     total = np.zeros((2, BUCKETS))
     for r in store.put(counted, "counts").collect():  # SLICES rows, BUCKETS * 2 numbers in all
         width = BUCKETS // SLICES
@@ -158,7 +159,7 @@ def measure(docs: DataFrame, ratio: np.ndarray | None) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *_measured(batch.column(1), table)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, SCHEMA)
+    return batched(docs.select("doc_id", "text"), scan, SCHEMA)
 
 
 #: Width of the histogram of scores.
@@ -205,4 +206,4 @@ def kept_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, tail
             n, _, _, _, repeated, score = (x.to_numpy() for x in _measured(batch.column(at), table))
             yield batch.filter(pa.array((n >= 10) & (100 * repeated <= 20 * n) & (score >= threshold)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return batched(docs, keep, docs.schema)

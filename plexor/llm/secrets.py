@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plexor.llm.store import scan as batched
 from plexor.llm.words import Slab, slabs
 
 # The base patterns and the order of kinds.
@@ -140,7 +141,7 @@ def secret_scan(docs: DataFrame, models: tuple[CharModel, CharModel], threshold:
                     out.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, spans_type)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
+    return batched(docs.select("doc_id", "text"), scan, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plexor.llm.store import Store
-from plexor.llm.tokens import TokenTable
+from plexor.llm.store import Store, scan
+from plexor.llm.tokens import token_table
 from plexor.llm.words import slabs
 
 BLOCK = 1 << 20
@@ -41,7 +41,7 @@ def token_files(docs: DataFrame, path: str, eod: int, block: int = BLOCK) -> Dat
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, file, number, held, names = TokenTable(path, special=False), TaskContext.get().partitionId(), 0, [], []
+        table, file, number, held, names = token_table(path, special=False), TaskContext.get().partitionId(), 0, [], []
 
         def row(data: bytes) -> pa.RecordBatch:
             nonlocal number, names
@@ -67,7 +67,7 @@ def token_files(docs: DataFrame, path: str, eod: int, block: int = BLOCK) -> Dat
         if size or names:
             yield row(b"".join(held))
 
-    return docs.select("doc_id", "text").mapInArrow(write, "file long, block long, data binary, docs array<long>")
+    return scan(docs.select("doc_id", "text"), write, "file long, block long, data binary, docs array<long>")
 
 
 def file_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
@@ -96,7 +96,7 @@ def summaries(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
                 inner = pa.array([np.diff(ends) - 1], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(pa.array(a, pa.int64()) for a in arrays), inner], ["file", "block", "n_tokens", "n_ends", "first_end", "last_end", "inner"])
 
-    return blocks.select("file", "block", "data").mapInArrow(search, "file long, block long, n_tokens long, n_ends long, first_end long, last_end long, inner array<long>")
+    return scan(blocks.select("file", "block", "data"), search, "file long, block long, n_tokens long, n_ends long, first_end long, last_end long, inner array<long>")
 
 
 def stitch(found: DataFrame, segment: int = SEGMENT) -> DataFrame:
