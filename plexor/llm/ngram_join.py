@@ -4,30 +4,39 @@ Documents are sets of hashed shingles (runs of five words, A-Z lower-cased).  Di
 1 - Jaccard, a metric; documents link at a distance of at most 1 - threshold.
 
 1. Documents with equal sets are one class; only a class's first row goes on.
-2. A set's sketch is its SKETCH smallest hashes.  Sets that link share at least
-   ``needed()`` of them: that is certain for sets no larger than a sketch, and for larger
-   ones fails with a chance below 2^-64 a pair (a binomial tail bound), which is the chance
-   that two shingles' 64-bit hashes are the same.  Of sketch members in ascending order of
-   how many sketches have them, two such sets therefore share one among the first
-   ``size - needed + 1``.  Of the sets that meet so, the same is done with all members:
-   two that link share one of the first ``size - ceil(threshold * size) + 1``, without any
-   chance.  Each member that two or more sets have there spans a region.  Members that many
-   documents share (boilerplate) come last and mostly span none.
-3. In each region a pivot is compared exactly, on whole sets, with all others.  The
-   distances cut the region into rings around the pivot, as wide as the threshold
-   distance.  By the triangle inequality a document links at most into the next ring, so
-   each ring is joined with the next one's documents, which are replicated as its boundary.
-4. Rings join recursively: those of at most `small` documents compare every pair that the
-   windows leave; larger ones compare pivots, twice as many each time, and lose them, until nothing is left that a comparison could still connect.  Documents that are
-   connected already are never compared, so groups of copies cost no pairs within.
-5. Links are merged into components after every round.
-
-What is given per document is the component, not all of its links.  Each comparison that
-decides a link is made on whole sets.
+2. Screening.  A set's sketch is its SKETCH smallest hashes.  Sets that link share at least
+   ``needed()`` of them: that is certain for sets so small that a partner's sketch is whole
+   too, and for larger ones fails with a chance below 2^-64 a pair (a binomial tail bound),
+   which is the chance that two shingles' 64-bit hashes are the same.  A set of whose sketch
+   fewer members are in any other sketch links with nothing.  From here on all is exact, on
+   whole sets: a set of which less than the threshold is in any other set links with nothing.
+3. Voronoi regions, first level.  Two sets that link share a shingle among the first
+   ``n - ceil(threshold * n) + 1`` of each (its prefix), in ascending order of how many sets
+   have a shingle.  Of the sets with a shingle in their prefixes, the one that has most in
+   common with others is a pivot.  Each set is compared with its pivots and is in the
+   regions of all of them: two sets that link have a pivot in common.
+4. Regions join recursively.  A region of more than `small` sets gets several pivots of
+   different components; every set in it is compared with all of them and goes to the
+   nearest one's region.  By the triangle inequality, sets that link have distances to any
+   pivot that differ by no more than the link distance r, so a set can link with one of
+   region q's core only if it is no farther from q than the core's farthest set is, or nearer
+   than its nearest, by more than r, nor farther than from its own pivot by more than 2 r:
+   such boundary documents are replicated.  Where regions overlap so much that this
+   doesn't divide them (a dense group), the region stays one and goes on with ever more
+   pivots, which leave it once all has been compared with them.
+5. In a region only sets of different components are compared, and only where sizes, the
+   windows and `profiles` leave it possible that they link: counts of a set's shared members
+   in LANES classes by hash, of which two sets can't have more in common than the sum of
+   the lesser counts.  So copies cost no pairs within a group.  Every link is decided on whole sets.
+6. Links are merged into components after every level.
+
+What is given per document is the component, not all of its links.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing;
-with fewer words than a shingle has, the whole sequence is one; repeated rows are of one
-class; rows without an id take part, and have no component if no member of it has an id.
+with fewer words than a shingle has, the whole sequence is one; very long texts are shingled
+whole; repeated rows are of one class; rows without an id take part, and have no component
+if no member of it has an id; an empty table gives an empty result; further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,11 +50,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plexor.llm.store import Store, with_ids
+from plexor.llm.store import Store, scan, with_ids, without
 from plexor.llm.words import slabs, windows
 
 SKETCH = 64
 SHARED = 12
+LANES = 16
 
 
 def tail_bits(threshold: float, sketch: int = SKETCH, shared: int = SHARED) -> float:
@@ -54,33 +64,34 @@ def tail_bits(threshold: float, sketch: int = SKETCH, shared: int = SHARED) -> f
     return sketch * (p * math.log2(p / threshold) + (1 - p) * math.log2((1 - p) / (1 - threshold)))
 
 
-def needed(size: Column, percent: int) -> Column:
-    """Sketch members that a set's sketch of `size` shares with that of any set it links with."""
-    return F.least(F.lit(SHARED), F.ceil(size * percent / 100)).cast("int")
+def needed(n: Column, percent: int) -> Column:
+    """Sketch members that a set of size n shares with any set it links with.
+
+    A partner has at most n * 100 / percent members; if that is no more than a sketch, both sketches are whole.
+    """
+    certain = F.ceil(n * percent / 100)
+    return F.when(n * 100 <= SKETCH * percent, certain).otherwise(F.least(certain, F.lit(SHARED)))
 
 
 def shingle_sets(docs: DataFrame, width: int, whole: bool) -> DataFrame:
-    """doc_id, n, d1, d2 (128-bit digest of the set) and the set: whole, or its sketch."""
+    """doc_id, raw, n, d1, d2 (128-bit digest of the set) and the set: whole, or its sketch."""
+    names = ["doc_id", "raw", "n", "d1", "d2", "members"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digests, members = [], [], []
-            for slab in slabs(batch.column(1)):
+            for slab in slabs(batch.column(2)):
                 slab.prepare(lower=True)
                 starts, ends, bounds = slab.words()
                 h, at = windows(slab.hashes(starts, ends), bounds, width)
-                for i in range(len(slab)):
-                    own = np.unique(h[at[i] : at[i + 1]])
-                    n.append(len(own))
-                    digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-                    members.append((own if whole else own[:SKETCH]).view(np.int64).copy())
-            both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(members, pa.list_(pa.int64()))],
-                ["doc_id", "n", "d1", "d2", "members"],
-            )
+                sets = [np.unique(h[at[i] : at[i + 1]]) for i in range(len(slab))]
+                both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
+                members = sets if whole else [s[:SKETCH] for s in sets]
+                offsets = np.concatenate([[0], np.cumsum([len(m) for m in members])]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(members).view(np.int64)))
+                own = [c.slice(slab.first, len(slab)) for c in (batch.column(0), batch.column(1))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), flat], names)
 
-    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long, d1 long, d2 long, members array<long>")
+    return scan(docs.select("doc_id", F.xxhash64("text").alias("raw"), "text"), build, "doc_id long, raw long, n long, d1 long, d2 long, members array<long>")
 
 
 def components(store: Store, edges: DataFrame) -> DataFrame:
@@ -95,158 +106,206 @@ def components(store: Store, edges: DataFrame) -> DataFrame:
         lower = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = lower.select(F.col("v").alias("label"), F.col("label").alias("next"))
         new = store.put(lower.join(jump, "label").select("v", "old", F.least("label", "next").alias("label")), "labels")
+        store.drop(labels)
         if new.where("label <> old").isEmpty():
+            store.drop(both)
             return new.select("v", "label")
         labels = new.select("v", "label")
+        labels.store_path = new.store_path
+
 
+#: What a region has of a set c: its size, how many of its members others have at all, these by class, how much it has in common, its component.
+FACTS = ["c", "n", "shared", "profile", "common", "comp"]
 
-def prefixes(members: DataFrame, length: Column, size: Column) -> DataFrame:
-    """g, c, n, shared, common of the members (c, n, g) in each set's prefix that two or more sets have at all.
 
-    Members count in ascending order of how many sets have them; those of one set alone come
-    first and are left out.  shared: how many of a set's members others have; common: how
-    often, which is most for what copies were made from.
+def held_twice(members: DataFrame) -> DataFrame:
+    """g, df of the members (c, g) that two or more sets have."""
+    return members.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+
+
+def seeds(store: Store, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(facts of the sets that can link at all, with c, n, shared, profile, common; their prefixes g, c)."""
+    tokens = sets.select("c", F.size("members").cast("long").alias("n"), F.explode("members").alias("g"))
+    held = store.put(tokens.join(held_twice(tokens.select("c", "g")), "g"), "held")
+    lane = F.pmod("g", F.lit(LANES))
+    profile = F.array(*[F.count(F.when(lane == i, 1)).cast("int") for i in range(LANES)])
+    facts = held.groupBy("c").agg(F.first("n").alias("n"), F.count("*").alias("shared"), profile.alias("profile"), F.sum(F.log2("df")).alias("common"))
+    facts = store.put(facts.where(100 * F.col("shared") >= percent * F.col("n")), "facts")
+    own = Window.partitionBy("c").orderBy("df", "g")  # a set at most
+    ranked = held.join(facts.select("c", "shared"), "c").withColumn("place", F.row_number().over(own))
+    # Members of one set alone come first in its order; a prefix ends so many places earlier among the others.
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = store.put(ranked.where(F.col("place") <= length - (F.col("n") - F.col("shared"))).select("g", "c"), "prefixes")
+    store.drop(held)
+    return facts, prefix
+
+
+def possible(x: str, y: str, percent: int) -> Column:
+    """May the sets of rows x and y link?  By their components, sizes and profiles."""
+    of = lambda row, name: F.col(f"{row}.{name}")
+    n, m = of(x, "n"), of(y, "n")
+    both = F.least(of(x, "profile")[0], of(y, "profile")[0])
+    for i in range(1, LANES):
+        both = both + F.least(of(x, "profile")[i], of(y, "profile")[i])
+    sized = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return (of(x, "comp") != of(y, "comp")) & sized & ((100 + percent) * F.least(of(x, "shared"), of(y, "shared")) >= percent * (n + m)) & ((100 + percent) * both >= percent * (n + m))
+
+
+def ordered(x: str, y: str) -> list[Column]:
+    """a, b (the lesser first), and their components, of rows x and y."""
+    swap = F.col(f"{x}.c") > F.col(f"{y}.c")
+    pick = lambda name, first: F.when(swap == F.lit(first), F.col(f"{y}.{name}")).otherwise(F.col(f"{x}.{name}"))
+    return [pick("c", True).alias("a"), pick("c", False).alias("b"), pick("comp", True).alias("ca"), pick("comp", False).alias("cb")]
+
+
+class RegionJoin:
+    """Joins regions (g, d, core, dense, and FACTS): sets c at distance d of the region's pivot.
+
+    Every pair of sets that link must meet in a region, at least one of them in its core.
     """
-    held = members.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    own = Window.partitionBy("c")  # a set at most
-    ranked = members.join(held, "g").select(
-        "g",
-        "c",
-        "n",
-        F.row_number().over(own.orderBy("df", "g")).alias("place"),
-        F.count("*").over(own).alias("shared"),
-        F.sum(F.log2("df")).over(own).alias("common"),
-    )
-    return ranked.where(F.col("place") <= length - (size - F.col("shared"))).select("g", "c", "n", "shared", "common")
-
-
-class _Join:
-    """The state of one join: regions (g, c, n, core, comp, d) and what has been compared."""
-
-    def __init__(self, store: Store, sets: DataFrame, percent: int):
-        self.store, self.sets, self.percent = store, sets, percent
-        self.done: DataFrame | None = None
+
+    def __init__(self, store: Store, sets: DataFrame, percent: int, small: int, pivots: int):
+        self.store, self.sets, self.percent, self.small, self.pivots = store, sets, percent, small, pivots
+        self.reach = 1 - percent / 100
         self.links: DataFrame | None = None
+        #: Pairs compared, by level.
+        self.compared: list[int] = []
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """a, b, d, linked of pairs (a, b); a may be in many of them, so its set is joined first, to narrow rows."""
-        pairs = self.store.put(pairs, "pairs")
+        """a, b, ca, cb, d, linked of distinct pairs (a, b, ca, cb)."""
+        pairs = self.store.put(pairs.dropDuplicates(["a", "b"]), "pairs")
         sets = with_ids(self.sets, pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), ["c"])
         one = sets.select(F.col("c").alias("a"), F.col("members").alias("left"))
         two = sets.select(F.col("c").alias("b"), F.col("members").alias("right"))
         both = F.size(F.array_intersect("left", "right"))
         any_of = F.size("left") + F.size("right") - F.col("both")
-        out = pairs.join(one, "a").join(two, "b").withColumn("both", both).select("a", "b", (1 - F.col("both") / any_of).alias("d"), (100 * F.col("both") >= self.percent * any_of).alias("linked"))
-        out = self.store.put(out, "distances")
-        self.done = out if self.done is None else self.done.unionByName(out)
-        return out
-
-    def fresh(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs, smaller first, that haven't been compared."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return pairs if self.done is None else pairs.join(self.done.select("a", "b"), ["a", "b"], "left_anti")
-
-    def merge(self, regions: DataFrame, found: DataFrame) -> DataFrame:
-        """Regions with components renewed by the links found."""
-        linked = found.where("linked").select("a", "b")
+        found = pairs.join(one, "a").join(two, "b").withColumn("both", both)
+        out = self.store.put(found.select("a", "b", "ca", "cb", (1 - F.col("both") / any_of).alias("d"), (100 * F.col("both") >= self.percent * any_of).alias("linked")), "distances")
+        self.compared.append(out.count())
+        linked = out.where("linked").select("a", "b")
         self.links = linked if self.links is None else self.links.unionByName(linked)
-        if linked.isEmpty():
-            return regions
-        labels = components(self.store, self.links).select(F.col("v").alias("c"), "label")
-        return regions.join(labels, "c", "left").withColumn("comp", F.coalesce("label", "comp")).drop("label")
-
-
-def join_classes(store: Store, regions: DataFrame, sets: DataFrame, percent: int, small: int, pivots: int) -> DataFrame | None:
-    """Links (a, b) that connect the classes as all links would, from regions (g, c, n, shared, common); None if there are none."""
-    space = _Join(store, sets, percent)
-    reach = 1 - percent / 100
-
-    # Level 0: one pivot for each region, compared with all of it, and rings around it.
-    pivot = regions.groupBy("g").agg(F.max(F.struct("common", (-F.col("c")).alias("c"))).alias("p")).select("g", (-F.col("p.c")).alias("pivot"))
-    seen = regions.join(pivot, "g").where("c <> pivot")
-    found = space.compare(space.fresh(seen.select(F.col("pivot").alias("a"), F.col("c").alias("b"))))
-    ends = seen.withColumn("a", F.least("pivot", "c")).withColumn("b", F.greatest("pivot", "c"))  # as fresh() orders them
-    rings = ends.join(found.select("a", "b", "d"), ["a", "b"]).withColumn("ring", F.floor(F.col("d") / reach + 1e-9))
-    rings = rings.withColumn("at", F.explode(F.array("ring", F.col("ring") - 1))).where("at >= 0")
-    state = rings.select(F.xxhash64("g", "at").alias("g"), "c", "n", "shared", "common", (F.col("at") == F.col("ring")).alias("core"), F.col("c").alias("comp"), "d")
-    state = store.put(space.merge(state, found), "rings")
+        return out
 
-    while True:
-        # By region and component, so that a large group of linked documents is a row here.
-        comps = store.put(state.groupBy("g", "comp").agg(F.count("*").alias("k"), F.max("core").alias("core"), F.min(F.struct("c", "n", "shared", "core", "d")).alias("first")), "by-component")
-        stat = comps.groupBy("g").agg(F.sum("k").alias("all"), F.count("*").alias("comps"), F.max("core").alias("any")).where("any and comps > 1").select("g", "all")
-        stat = store.put(stat, "active")
+    def merged(self, rows: DataFrame, found: DataFrame) -> DataFrame:
+        """rows with components renewed by the links found."""
+        edges = found.where("linked and ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        if edges.isEmpty():
+            return rows
+        labels = components(self.store, edges).select(F.col("v").alias("comp"), "label")
+        return rows.join(labels, "comp", "left").withColumn("comp", F.coalesce("label", "comp")).drop("label")
+
+    def first_level(self, facts: DataFrame, prefix: DataFrame) -> DataFrame:
+        """The regions of step 3."""
+        known = facts.select("c", "common")
+        seen = prefix.join(known, "c")
+        pivot = seen.groupBy("g").agg(F.max(F.struct("common", (-F.col("c")).alias("c"))).alias("p"), F.count("*").alias("k")).where("k > 1").select("g", (-F.col("p.c")).alias("pivot"))
+        seen = self.store.put(prefix.join(pivot, "g").where("c <> pivot").select("pivot", "c").distinct(), "seen")
+        low, high = F.least("pivot", "c"), F.greatest("pivot", "c")
+        found = self.compare(seen.select(low.alias("a"), high.alias("b"), low.alias("ca"), high.alias("cb")))
+        near = seen.withColumns({"a": low, "b": high}).join(found.select("a", "b", "d"), ["a", "b"])
+        # All of a region count as its core: which pivots a set is compared with depends on its prefix, so the nearest alone doesn't see all partners.
+        rows = near.join(facts, "c").select(F.col("pivot").alias("g"), "d", F.lit(True).alias("core"), F.lit(False).alias("dense"), "c", "n", "shared", "profile", "common", F.col("c").alias("comp"))
+        return self.store.put(self.merged(rows, found), "regions")
+
+    def run(self, state: DataFrame) -> None:
+        level = 0
+        while (new := self.level(state, level)) is not None:
+            self.store.drop(state)
+            state, level = new, level + 1
+
+    def level(self, state: DataFrame, level: int) -> DataFrame | None:
+        """What is left to join after this level, or None."""
+        put, reach = self.store.put, self.reach
+        comps = put(state.groupBy("g", "comp").agg(F.count("*").alias("k"), F.max("core").alias("core"), F.max(F.struct("common", (-F.col("c")).alias("c"))).alias("head")), "components")
+        stat = put(comps.groupBy("g").agg(F.sum("k").alias("all"), F.count("*").alias("comps"), F.max("core").alias("any")).where("any and comps > 1").select("g", "all"), "active")
         if stat.isEmpty():
-            return space.links
-        live = state.join(stat, "g")
-        near = lambda a, b: F.abs(a - b) <= reach + 1e-9
-        # Sizes alone, and what both can share at most, rule pairs out.
-        sized = lambda n, s, m, t: (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(s, t) >= percent * (n + m))
-
-        few = live.where(F.col("all") <= small)
-        x, y = few.alias("x"), few.alias("y")
-        met = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.core") | F.col("y.core")) & near(F.col("x.d"), F.col("y.d")) & sized(F.col("x.n"), F.col("x.shared"), F.col("y.n"), F.col("y.shared")))
-        pairs = met.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
-
-        many = live.where(F.col("all") > small)
-        wide = stat.where(F.col("all") > small).select("g")
-        # Half of the pivots have most in common with others, and merge components; half are of the rarest components, and end them.
-        central = many.groupBy("g", F.pmod(F.xxhash64("c"), F.lit(pivots // 2)).alias("part")).agg(F.max(F.struct("common", (-F.col("c")).alias("c"), "comp", "n", "shared", "core", "d")).alias("p"))
-        rare = comps.join(wide, "g").groupBy("g", F.pmod(F.xxhash64("comp"), F.lit(pivots // 2)).alias("part")).agg(F.min(F.struct("k", "comp", "first")).alias("p"))
-        chosen = central.select("g", F.col("p.comp").alias("pcomp"), (-F.col("p.c")).alias("pc"), F.col("p.n").alias("pn"), F.col("p.shared").alias("pshared"), F.col("p.core").alias("pcore"), F.col("p.d").alias("pd"))
-        chosen = chosen.unionByName(rare.select("g", F.col("p.comp").alias("pcomp"), *[F.col(f"p.first.{f}").alias(f"p{f}") for f in ("c", "n", "shared", "core", "d")]))
-        chosen = store.put(chosen.dropDuplicates(["g", "pc"]), "pivots")
-        told = many.join(chosen, "g").where((F.col("comp") != F.col("pcomp")) & (F.col("core") | F.col("pcore")) & near(F.col("d"), F.col("pd")) & sized(F.col("n"), F.col("shared"), F.col("pn"), F.col("pshared")))
-        pairs = pairs.unionByName(told.select(F.col("pc").alias("a"), F.col("c").alias("b")))
-
-        found = space.compare(space.fresh(pairs))
-        left = many.drop("all").join(chosen.select("g", F.col("pc").alias("c")), ["g", "c"], "left_anti")
-        state = store.put(space.merge(left, found), "left")
-        pivots *= 2  # what is left has ever fewer pairs to compare
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, width: int = 5, small: int = 128, pivots: int = 64) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text).  percent: least similarity of a link, 75 or more."""
+            return None
+        live = state.join(stat, "g").withColumn("few", F.col("all") <= self.small)
+        window = F.abs(F.col("x.d") - F.col("y.d")) <= reach + 1e-9
+        cored = F.col("x.core") | F.col("y.core")
+
+        few = live.where("few")
+        met = few.alias("x").join(few.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.c") < F.col("y.c")) & cored & window & possible("x", "y", self.percent))
+        pairs = met.select(*ordered("x", "y"))
+
+        # Pivots of different components: one for each of `pivots` parts of a region's components, of its largest there.
+        many = live.where("not few").drop("few", "all")
+        count = F.when(F.col("dense"), F.lit(min(self.pivots * 4**level, 1 << 30))).otherwise(F.lit(self.pivots))
+        kinds = many.select("g", "dense").distinct()
+        heads = comps.join(kinds, "g").groupBy("g", F.pmod(F.xxhash64("comp"), count).alias("part")).agg(F.max(F.struct("k", "head.common", "head.c")).alias("p")).select("g", (-F.col("p.c")).alias("c"))
+        chosen = put(many.join(heads, ["g", "c"]), "pivots")
+        x, y = chosen.alias("x"), many.alias("y")
+        here = (F.col("x.g") == F.col("y.g")) & (F.col("x.c") != F.col("y.c"))
+        told = x.join(y, here & F.col("x.dense") & cored & window & possible("x", "y", self.percent))
+        split = x.join(y, here & ~F.col("x.dense"))
+        wide = put(split.select(F.col("x.g").alias("g"), F.col("x.c").alias("q"), F.col("y.c").alias("c"), F.col("y.core").alias("core")), "to-divide")
+        pairs = pairs.unionByName(told.select(*ordered("x", "y"))).unionByName(split.select(*ordered("x", "y")))
+
+        found = self.compare(pairs)
+        left = many.join(chosen.select("g", "c"), ["g", "c"], "left_anti")
+        rest = self.merged(left.where("dense").unionByName(self.divided(left.where("not dense"), wide, found)), found)
+        return put(rest.select("g", "d", "core", "dense", *FACTS), "left")
+
+    def divided(self, rows: DataFrame, wide: DataFrame, found: DataFrame) -> DataFrame:
+        """Voronoi regions of each region of rows around the pivots q of wide (g, q, c, core), or the region itself, as dense, where they overlap too much."""
+        low, high = F.least("q", "c"), F.greatest("q", "c")
+        far = wide.withColumns({"a": low, "b": high}).join(found.select("a", "b", "d"), ["a", "b"]).select("g", "q", "c", "core", F.col("d").alias("dq"))
+        home = far.groupBy("g", "c").agg(F.min(F.struct("dq", "q")).alias("home")).select("g", "c", F.col("home.dq").alias("own"), F.col("home.q").alias("at"))
+        near = far.join(home, ["g", "c"])
+        edge = near.where("q = at and core").groupBy("g", "q").agg(F.min("dq").alias("lo"), F.max("dq").alias("hi"))
+        slack = self.reach + 1e-9
+        inside = (F.col("dq") <= F.col("own") + 2 * slack) & (F.col("dq") <= F.col("hi") + slack) & (F.col("dq") >= F.col("lo") - slack)
+        cells = self.store.put(near.join(edge, ["g", "q"]).where(((F.col("q") == F.col("at")) & F.col("core")) | inside).select("g", "q", "c", "dq", ((F.col("q") == F.col("at")) & F.col("core")).alias("home")), "cells")
+        sums = cells.groupBy("g", "q").agg(F.count("*").alias("k"), F.sum(F.col("home").cast("int")).alias("own"))
+        worth = sums.groupBy("g").agg((F.sum("k") <= 2 * F.sum("own")).alias("thin"), (2 * F.max("k") <= F.sum("own")).alias("even")).select("g", (F.col("thin") & F.col("even")).alias("divides"))
+        worth = self.store.put(worth, "worth")
+        kept = rows.join(worth.where("divides"), "g", "left_anti").withColumn("dense", F.lit(True))
+        parts = rows.drop("d", "core").join(cells, ["g", "c"]).join(worth.where("divides"), "g")
+        parts = parts.select(F.xxhash64("g", "q").alias("g"), F.col("dq").alias("d"), F.col("home").alias("core"), "dense", *FACTS)
+        return kept.unionByName(parts)
+
+
+def joined(spark: SparkSession, docs: DataFrame, percent: int, width: int, small: int, pivots: int) -> DataFrame:
+    """row, doc_id, raw, n, component (the least row of it), component_id of every row of docs."""
     if tail_bits(percent / 100) < 64:
         raise ValueError("sketches of this size serve similarities of 0.75 or more")
     store = Store(spark, "ngram-join")
-    signed = store.put(shingle_sets(docs, width, whole=False).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    classes = store.put(signed.groupBy("d1", "d2", "n").agg(first.alias("first")).select("d1", "d2", "n", F.col("first.row").alias("c"), F.col("first.doc_id").alias("first_id")), "classes")
+    sketched = store.put(shingle_sets(docs, width, whole=False).withColumn("row", F.monotonically_increasing_id()), "sketched")
+    signed = store.put(sketched.drop("members"), "signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    classes = store.put(signed.groupBy("d1", "d2", "n").agg(first).select("d1", "d2", "n", F.col("first.row").alias("c"), "first"), "classes")
 
-    heads = signed.join(classes.where("n > 0").select(F.col("c").alias("row")), "row", "left_semi").select(F.col("row").alias("c"), "n", "members")
+    heads = sketched.join(classes.where("n > 0").select(F.col("c").alias("row")), "row", "left_semi").select(F.col("row").alias("c"), F.explode("members").alias("g"))
     heads = store.put(heads, "heads")
-    members = heads.select("c", "n", F.explode("members").alias("g"))
-    size = F.least(F.col("n"), F.lit(SKETCH)).cast("int")
-    met = prefixes(members, size - needed(size, percent) + 1, size)
-    wanted = store.put(store.put(met, "met").select("c").distinct().join(classes, "c"), "wanted")
-    key = F.coalesce("doc_id", F.lit(-1).cast("long"))
-    ids = wanted.select(F.coalesce("first_id", F.lit(-1).cast("long")).alias("__id")).distinct()
-    texts = with_ids(docs.select("doc_id", "text").withColumn("__id", key), ids, ["__id"])
-    whole = shingle_sets(texts, width, whole=True).join(wanted.select("d1", "d2", "n", "c"), ["d1", "d2", "n"]).dropDuplicates(["c"])
+    store.drop(sketched)
+    some = heads.join(held_twice(heads).select("g"), "g").groupBy("c").agg(F.count("*").alias("met"))
+    wanted = store.put(some.join(classes, "c").where(F.col("met") >= needed(F.col("n"), percent)).select("c", "d1", "d2", "n"), "wanted")
+    store.drop(heads)
+
+    raws = store.put(with_ids(signed.withColumnRenamed("row", "c"), wanted.select("c"), ["c"]).select("raw").distinct(), "raws")
+    texts = with_ids(docs.select("doc_id", "text", F.xxhash64("text").alias("raw")), raws, ["raw"])
+    whole = shingle_sets(texts, width, whole=True).join(wanted, ["d1", "d2", "n"]).dropDuplicates(["c"])
     sets = store.put(whole.select("c", "members"), "sets")
 
-    # The same on whole sets, among those that meet at all: here the prefix is exact.
-    tokens = sets.select("c", F.size("members").cast("long").alias("n"), F.explode("members").alias("g"))
-    n = F.col("n")
-    regions = prefixes(tokens, n - F.ceil(n * percent / 100) + 1, n).where(100 * F.col("shared") >= percent * n)
-    regions = store.put(regions, "regions")
-    alone = regions.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
-    regions = store.put(regions.join(alone, "g", "left_semi"), "shared-regions")
-
-    links = join_classes(store, regions, sets, percent, small, pivots)
-    placed = classes.withColumn("label", F.col("c"))
-    if links is not None and not links.isEmpty():
-        labels = components(store, links).select(F.col("v").alias("c"), F.col("label").alias("to"))
-        placed = classes.join(labels, "c", "left").withColumn("label", F.coalesce("to", "c"))
-    placed = store.put(placed.select("d1", "d2", "n", "label", "first_id"), "labelled")
-    least = placed.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = store.put(placed.join(least, "label").select("d1", "d2", "n", "component_id"), "named")
-    return signed.join(named, ["d1", "d2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def first_of_groups(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; all columns stay."""
-    found = near_duplicates(spark, docs, **options)
-    gone = Store(spark, "copies").put(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return with_ids(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+    work = RegionJoin(store, sets, percent, small, pivots)
+    work.run(work.first_level(*seeds(store, sets, percent)))
+    labels = components(store, work.links).select(F.col("v").alias("c"), "label")
+    placed = store.put(classes.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")).select("d1", "d2", "n", "label", "first"), "labelled")
+    least = placed.groupBy("label").agg(F.min("first").alias("least"))
+    named = store.put(placed.join(least, "label").select("d1", "d2", "n", F.col("least.row").alias("component"), F.col("least.doc_id").alias("component_id")), "named")
+    alone = lambda other, own: F.when(F.col("n") > 0, F.col(other)).otherwise(F.col(own)).alias(other)
+    return signed.join(named, ["d1", "d2", "n"]).select("row", "doc_id", "raw", "n", alone("component", "row"), alone("component_id", "doc_id"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75, width: int = 5, small: int = 128, pivots: int = 16) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text).  percent: least similarity of a link, 75 or more."""
+    return joined(spark, docs, percent, width, small, pivots).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def first_of_groups(spark: SparkSession, docs: DataFrame, percent: int = 75, width: int = 5, small: int = 128, pivots: int = 16) -> DataFrame:
+    """One row of each component: that with the smallest doc_id, or the first row where none has one; all columns stay.
+
+    Rows without shingles are linked with nothing, so all of them stay.
+    """
+    found = joined(spark, docs, percent, width, small, pivots)
+    return without(docs, found.select("doc_id", "raw", (F.col("row") == F.col("component")).alias("kept")))
