@@ -174,7 +174,8 @@ class RegionJoin:
     def compare(self, pairs: DataFrame) -> DataFrame:
         """a, b, ca, cb, d, linked of distinct pairs (a, b, ca, cb)."""
         pairs = self.store.put(pairs.dropDuplicates(["a", "b"]), "pairs")
-        sets = with_ids(self.sets, pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), ["c"])
+        ids = self.store.put(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "compared")
+        sets = with_ids(self.sets, ids, ["c"])
         one = sets.select(F.col("c").alias("a"), F.col("members").alias("left"))
         two = sets.select(F.col("c").alias("b"), F.col("members").alias("right"))
         both = F.size(F.array_intersect("left", "right"))
