@@ -9,7 +9,9 @@ then or) and evaluated to the freedom it grants: identifiers have a value from 0
 document's score joins all its notices and expressions by ``and``; without any it is 0.
 
 Defined cases: null and empty texts have no words, no labels and score 0; an expression that
-is not well-formed gives its labels but no value; texts are scanned whole.
+is not well-formed gives its labels but no value; texts of any length are scanned whole;
+repeated rows are scanned each; an empty table gives an empty result; further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -134,9 +136,13 @@ def scan_text(raw: bytes, finder: ahocorasick.Automaton) -> tuple[int, int, int
     words = raw.translate(_WORDS).split()
     line = f" {b' '.join(words).decode('utf-8', 'replace')} "
     starts, base, labels, values, tagged = [], set(), set(), [], False
+    seen, place = 0, -1  # spaces in the first `seen` characters, counted once for all matches
     for end, (phrase, label) in finder.iter(line):
         if phrase in BASE:
-            starts.append(line.count(" ", 0, end - len(phrase)) - 1)
+            at = end - len(phrase)  # matches are in the order of their ends, so a start may be before the last one
+            place += line.count(" ", seen, at) if at >= seen else -line.count(" ", at, seen)
+            seen = at
+            starts.append(place)
             base.add(label)
         if label == "tag":
             tagged = True

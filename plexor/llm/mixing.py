@@ -15,8 +15,10 @@ from there the cut is repeated for what is still open, among the documents no lo
 that, until none that fits is left.  Reruns agree.
 
 Defined cases: null text has size 0; null sources are a source of their own, last in order;
-documents of size 0 are never taken; repeated rows count each; without any words all
-targets are 0; the number of patterns is bounded by the catalogue of sources and kept on
+documents of size 0 are never taken; a very long document is taken whole or not at all;
+repeated rows and rows without an id count each; without any words all targets are 0; an
+empty table gives an empty result; further columns are ignored, whatever their names, and
+mixed_documents() keeps them; the number of patterns is bounded by the catalogue of sources and kept on
 the driver, documents never are.
 """
 
@@ -145,16 +147,17 @@ def selections(spark: SparkSession, rows: DataFrame, rests: dict[tuple, float])
 
 
 def mix(spark: SparkSession, docs: DataFrame, members: Column | None = None, epochs: int = 3, weights: tuple[float, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
-    """doc_id, size, sources, source_size, target, taken of every row of docs (doc_id, text, and what members needs).
+    """doc_id, raw, size, sources, source_size, target, taken of every row of docs (doc_id, text, and what members needs).
 
     members: array of the sources of a document; by default its column `source` alone.  A
-    document in several sources has the figures of the first one that its words flow to.
+    document in several sources has the figures of the one that most of its pattern's words flow to; raw is a hash of text and sources.
     """
     store = Store(spark, "mixing")
     sources = F.array(F.col("source")) if members is None else F.array_sort(F.array_distinct(members))
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = store.put(docs.select("doc_id", words.alias("size"), sources.alias("sources"), key.alias("key"), F.monotonically_increasing_id().alias("row"), F.shiftrightunsigned(key, 52).alias("range")), "rows")
+    raw = F.xxhash64("text", sources)
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), raw)).otherwise(F.xxhash64(F.lit(seed), F.col("doc_id")))
+    rows = store.put(docs.select("doc_id", raw.alias("raw"), words.alias("size"), sources.alias("sources"), key.alias("key"), F.monotonically_increasing_id().alias("row"), F.shiftrightunsigned(key, 52).alias("range")), "rows")
     spread = store.put(rows.groupBy("sources", "range").agg(F.sum("size").alias("size")), "ranges")
 
     supply = {tuple(r["sources"]): r["size"] for r in spread.groupBy("sources").agg(F.sum("size").alias("size")).collect()}  # one row for each pattern
@@ -182,15 +185,25 @@ def mix(spark: SparkSession, docs: DataFrame, members: Column | None = None, epo
     fits = F.exists("rounds", lambda r: (F.col("size") <= r["gap"]) & (F.isnull(r["after"]) | (place() > r["after"])) & (F.isnull(r["until"]) | (place() < r["until"])))
     more = F.coalesce(fits, F.lit(False)) & (F.col("size") > 0)
     taken = F.col("size") * (F.col("whole") + more.cast("int"))
-    return filled.select("doc_id", "size", "sources", "source_size", "target", taken.cast("long").alias("taken"))
+    return filled.select("doc_id", "raw", "size", "sources", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(spark: SparkSession, docs: DataFrame, members: Column | None = None, **options) -> DataFrame:
     """The rows of docs as the mix has them: left out, once or repeated; all columns stay.
 
-    Documents are told apart by doc_id; rows that share an id are repeated alike, and rows without one are left out.
+    Rows alike in id, text and sources can't be told apart: where the mix takes them differently often, one stands for all.
     """
-    times, copy = free(docs, "__times"), free(docs, "__copy")
-    decided = mix(spark, docs, **options).where("taken > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias(times))
-    decided = Store(spark, "mixed").put(decided, "times")
-    return with_ids(docs, decided, ["doc_id"], "inner").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    store = Store(spark, "mixed")
+    sources = F.array(F.col("source")) if members is None else F.array_sort(F.array_distinct(members))
+    none, name, raw, times, copy = (free(docs, n) for n in ("__none", "__id", "__raw", "__times", "__copy"))
+    key = [F.col("doc_id").isNull().alias(none), F.coalesce("doc_id", F.lit(0)).cast("long").alias(name)]
+    on = [none, name, raw]
+    often = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(F.lit(0)).alias(times)
+    rows = mix(spark, docs, members, **options).select(*key, F.col("raw").alias(raw), often)
+    alike = store.put(rows.groupBy(*on).agg(F.max(times).alias(times), F.min(times).alias("least"), F.sum(times).cast("int").alias("all")), "times")
+    marked = docs.select("*", *key, F.xxhash64("text", sources).alias(raw))
+    out = with_ids(marked, alike.where(F.col(times) > 0).where(F.col("least") == F.col(times)).select(*on, times), on, "inner").select(*marked.columns, times)
+    uneven = store.put(alike.where(F.col("least") < F.col(times)).select(*on, F.col("all").alias(times)), "uneven")
+    if not uneven.isEmpty():
+        out = out.unionByName(with_ids(marked, uneven, on, "inner").dropDuplicates(on).select(*marked.columns, times))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

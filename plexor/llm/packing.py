@@ -3,17 +3,19 @@
 Documents become ids with an end id; only those longer than a sequence are cut, into full
 pieces and a rest.  Full pieces are sequences of their own.  The others are dealt by hash
 into blocks of about `block` pieces (so neither a source nor a group of copies lands in
-one), and each block is evolved on several islands.  A solution is a list of bins.
-Crossover injects the well-filled bins of one parent whole into the other, removes the
-bins there that hold the same pieces, and puts what that displaces back by best fit in
-descending order; mutation empties the worst-filled bins likewise.  After each epoch every
-island's elite migrates to the next island.  A block is done when it has no more bins
-than its tokens need.  Bins that stay below `enough` of a sequence are taken apart and
-their pieces, from all blocks, packed again, level by level.
+one), and each block is evolved on several islands.  A solution is a list of bins; the
+first ones come of best fit in random orders.  Crossover injects the well-filled bins of
+one parent whole into the other, removes the bins there that hold the same pieces, and puts
+what that displaces back by best fit in descending order; mutation empties the worst-filled
+bins likewise.  After each epoch every island's elite migrates to the next island.  A block
+is done when it has no more bins than its tokens need; only where its generations don't
+get there does the solution of best fit in descending order compete as well.  Bins that
+stay below `enough` of a sequence are taken apart and their pieces, from all blocks, packed
+again, level by level, as long as that saves sequences.
 
 Defined cases: null and empty texts are one piece of the end id alone; repeated rows are
 packed one by one; an empty table gives an empty result; a document of any length is cut
-without gaps.
+without gaps; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,19 +109,18 @@ def mutate(bins: Bins, lengths: list[int], size: int, rng: random.Random) -> Bin
     return best_fit(displaced, lengths, size, [list(b) for b in bins if id(b) not in gone])
 
 
-def evolve(lengths: list[int], size: int, elites: list[Bins], seed: int, generations: int, population: int = 4) -> Bins:
-    """The best solution after some generations; stops when no fewer bins are possible."""
+def evolve(lengths: list[int], size: int, elites: list[Bins], seed: int, generations: int, population: int = 4) -> tuple[Bins, int]:
+    """(the best solution, the generations that ran): ends when no fewer bins are possible, or the generations are used up."""
     rng = random.Random(seed)
     least = -(-sum(lengths) // size)
-    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    pool = list(elites) or [best_fit(order, lengths, size, [])]
-    best = max(pool, key=lambda b: fitness(b, lengths))
-    if len(best) <= least:
-        return best
+    order = list(range(len(lengths)))
+    pool = list(elites)
     while len(pool) < population:
-        pool.append(best_fit(sorted(order, key=lambda i: -lengths[i] * rng.uniform(0.8, 1.2)), lengths, size, []))
+        rng.shuffle(order)
+        pool.append(best_fit(order, lengths, size, []))
     scored = [(fitness(b, lengths), b) for b in pool]
-    for _ in range(generations):
+    ran = 0
+    while ran < generations and -max(scored, key=lambda x: x[0])[0][0] > least:
         a, b = rng.sample(range(len(scored)), 2)
         child = crossover(scored[a][1], scored[b][1], lengths, size, rng)
         if rng.random() < 0.5:
@@ -128,21 +129,23 @@ def evolve(lengths: list[int], size: int, elites: list[Bins], seed: int, generat
         worst = min(range(len(scored)), key=lambda k: scored[k][0])
         if new > scored[worst][0]:
             scored[worst] = (new, child)
-        if -new[0] <= least:
-            break
-    return max(scored, key=lambda x: x[0])[1]
+        ran += 1
+    if -max(scored, key=lambda x: x[0])[0][0] > least:
+        sorted_fit = best_fit(sorted(order, key=lambda i: (-lengths[i], i)), lengths, size, [])
+        scored.append((fitness(sorted_fit, lengths), sorted_fit))
+    return max(scored, key=lambda x: x[0])[1], ran
 
 
-ISLANDS = "block long, island int, items array<struct<length: long, uid: long>>, elites array<array<int>>"
+ISLANDS = "block long, island int, items array<struct<length: long, uid: long>>, elites array<array<int>>, ran int"
 
 
 def _epoch(state: DataFrame, size: int, generations: int, seed: int) -> DataFrame:
-    """One epoch on every island; elites are the bin numbers of the items, before and after."""
+    """One epoch on every island; elites are the bin numbers of the items, before and after; ran counts generations."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for block, island, items, elites in zip(*(batch.column(i) for i in range(4))):
+            out, count = [], []
+            for block, island, items, elites, before in zip(*(batch.column(i) for i in range(5))):
                 lengths = items.values.flatten()[0].to_pylist()
                 pool = []
                 for numbers in elites.as_py() or []:
@@ -150,12 +153,13 @@ def _epoch(state: DataFrame, size: int, generations: int, seed: int) -> DataFram
                     for i, k in enumerate(numbers):
                         bins[k].append(i)
                     pool.append(bins)
-                best = evolve(lengths, size, pool, seed * 1_000_003 + block.as_py() * 101 + island.as_py(), generations)
+                best, ran = evolve(lengths, size, pool, seed * 1_000_003 + block.as_py() * 101 + island.as_py(), generations)
                 number = np.empty(len(lengths), np.int32)
                 for k, b in enumerate(best):
                     number[b] = k
                 out.append([number])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["block", "island", "items", "elites"])
+                count.append(before.as_py() + ran)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.list_(pa.int32()))), pa.array(count, pa.int32())], ["block", "island", "items", "elites", "ran"])
 
     return scan(state, run, ISLANDS)
 
@@ -180,33 +184,39 @@ def _bins(state: DataFrame) -> DataFrame:
     return scan(state.select("block", "items", "elites"), spread, "uid long, length long, block long, bin long, offset long, fill long")
 
 
-def pack(spark: SparkSession, items: DataFrame, size: int = 4096, block: int = 4000, islands: int = 2, epochs: int = 2, generations: int = 8, enough: float = 0.998) -> DataFrame:
+def evolved(store: Store, items: DataFrame, blocks: int, size: int, islands: int, epochs: int, generations: int, level: int) -> DataFrame:
+    """block, island, items, elites (one), ran: every island's best after all epochs."""
+    dealt = items.groupBy(F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("length", "uid"))).alias("items"))  # about `block` items each
+    state = dealt.select("block", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), "items", F.array().cast("array<array<int>>").alias("elites"), F.lit(0).alias("ran"))
+    for epoch in range(epochs):
+        state = store.put(_epoch(state.repartition(max(1, min(blocks * islands, 10_000)), "block", "island"), size, generations, epoch), f"epoch-{level}-{epoch}")
+        if epoch + 1 < epochs:
+            came = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elites").alias("others"))
+            state = state.join(came, ["block", "island"]).select("block", "island", "items", F.concat("elites", "others").alias("elites"), "ran")
+    return state
+
+
+def pack(spark: SparkSession, items: DataFrame, size: int = 4096, block: int = 4000, islands: int = 2, epochs: int = 2, generations: int = 150, enough: float = 0.998) -> DataFrame:
     """uid, sequence_id, offset of items (uid, length below size), in as few sequences as it can."""
     store = Store(spark, "packing")
-    done, level = [], 0
+    done, level, before = [], 0, float("inf")
     while True:
-        n = items.count()
-        blocks = max(1, -(-n // block))
-        dealt = items.groupBy(F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("length", "uid"))).alias("items"))  # about `block` items each
-        state = dealt.select("block", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), "items", F.array().cast("array<array<int>>").alias("elites"))
-        for epoch in range(epochs):
-            state = store.put(_epoch(state.repartition(max(1, min(blocks * islands, 10_000)), "block", "island"), size, generations, epoch), f"epoch-{level}-{epoch}")
-            if epoch + 1 < epochs:
-                came = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elites").alias("others"))
-                state = state.join(came, ["block", "island"]).select("block", "island", "items", F.concat("elites", "others").alias("elites"))
+        blocks = max(1, -(-items.count() // block))
+        state = evolved(store, items, blocks, size, islands, epochs, generations, level)
         count = F.array_max(F.col("elites")[0])
         best = state.groupBy("block").agg(F.min_by(F.struct("items", "elites"), F.struct(count, F.col("island"))).alias("best")).select("block", "best.items", "best.elites")
         placed = store.put(_bins(best.repartition(max(1, min(blocks, 10_000)), "block")), f"level-{level}")
         full = F.col("fill") >= F.lit(int(size * enough))
         rest = placed.where(~full)
-        left = rest.count() if blocks > 1 else 0
+        open_ = rest.agg(F.count(F.when(F.col("offset") == 0, 1)).alias("bins"), F.sum("length").alias("tokens")).first()
         sequence = (F.lit(level) * F.lit(1 << 56) + F.col("block") * F.lit(1 << 16) + F.col("bin")).cast("long")
         out = placed.select("uid", sequence.alias("sequence_id"), "offset", full.alias("full"))
-        if not left or left > 0.7 * n:  # else each level has fewer items
+        # Nothing to gain in one block, where the tokens need as many, or where this level saved none.
+        if blocks == 1 or open_["bins"] <= -(-(open_["tokens"] or 0) // size) or open_["bins"] >= before:
             done.append(out.drop("full"))
             break
         done.append(out.where("full").drop("full"))
-        items, level = rest.select("uid", "length"), level + 1
+        items, level, before = rest.select("uid", "length"), level + 1, open_["bins"]
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)

@@ -84,7 +84,7 @@ _FIXED = {"bigint", "int", "boolean", "double", "smallint", "tinyint"}
 def with_ids(df: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi", most: int = BROADCAST_KEYS) -> DataFrame:
     """df joined with a table of numbers: broadcast if counted to be at most `most` rows, else by shuffle."""
     wide = [c for c, kind in ids.dtypes if kind not in _FIXED]
-    if wide or len(ids.columns) > 3:
+    if wide or len(ids.columns) > 4:
         raise ValueError(f"rows of {ids.columns} have no small fixed width")
     small = ids.limit(most + 1).count() <= most
     return df.join(F.broadcast(ids) if small else ids, on, how)

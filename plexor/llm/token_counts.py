@@ -11,7 +11,8 @@ file's summaries, however long it is.
 
 Defined cases: a document may be empty (two separators in a row); tokens after the last
 separator are a document that is not terminated; an empty file has no documents; null and
-empty texts make empty documents.
+empty texts make empty documents; a document of any length may span any number of blocks;
+repeated rows are documents each; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,7 +85,10 @@ def file_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame
 
 
 def summaries(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
-    """file, block, n_tokens, n_ends, first_end, last_end, inner of each block; places count from the block's start."""
+    """file, block, n_tokens, n_ends, first_end, last_end, inner of each block; places count from the block's start.
+
+    inner: start and length of each document that lies wholly inside.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,10 +97,10 @@ def summaries(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
                 ends = np.flatnonzero(tokens == eod)
                 some = len(ends) > 0
                 arrays = [[file], [number], [len(tokens)], [len(ends)], [int(ends[0]) if some else None], [int(ends[-1]) if some else None]]
-                inner = pa.array([np.diff(ends) - 1], pa.list_(pa.int64()))
+                inner = pa.ListArray.from_arrays(pa.array([0, max(0, len(ends) - 1)], pa.int32()), pa.StructArray.from_arrays([pa.array(ends[:-1] + 1), pa.array(np.diff(ends) - 1)], ["at", "n"]))
                 yield pa.RecordBatch.from_arrays([*(pa.array(a, pa.int64()) for a in arrays), inner], ["file", "block", "n_tokens", "n_ends", "first_end", "last_end", "inner"])
 
-    return scan(blocks.select("file", "block", "data"), search, "file long, block long, n_tokens long, n_ends long, first_end long, last_end long, inner array<long>")
+    return scan(blocks.select("file", "block", "data"), search, "file long, block long, n_tokens long, n_ends long, first_end long, last_end long, inner array<struct<at: long, n: long>>")
 
 
 def stitch(found: DataFrame, segment: int = SEGMENT) -> DataFrame:
@@ -123,16 +127,16 @@ def stitch(found: DataFrame, segment: int = SEGMENT) -> DataFrame:
         "n_tokens",
         "n_ends",
         "first_end",
+        "last_end",
         "inner",
         (F.col("seg_base") + F.col("base")).alias("base"),
         (F.col("seg_rank") + F.col("rank")).alias("rank"),
         F.coalesce(F.col("seg_base") + F.col("before"), "seg_before").alias("before"),
     )
     first = placed.where("n_ends > 0").select("file", F.col("rank").alias("ordinal"), (F.col("before") + 1).alias("start"), (F.col("base") + F.col("first_end") - F.col("before") - 1).alias("n_tokens"), F.lit(True).alias("terminated"))
-    runs = placed.where("n_ends > 1").select("file", "rank", (F.col("base") + F.col("first_end")).alias("from"), F.posexplode("inner").alias("i", "n_tokens"), "inner")
-    prior = F.aggregate(F.slice("inner", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x + 1)
-    inner = runs.select("file", (F.col("rank") + F.col("i") + 1).alias("ordinal"), (F.col("from") + 1 + prior).alias("start"), "n_tokens", F.lit(True).alias("terminated"))
-    last = placed.groupBy("file").agg(F.sum("n_tokens").alias("all"), F.sum("n_ends").alias("ordinal"), F.max(F.when(F.col("n_ends") > 0, F.col("base") + F.col("first_end") + F.coalesce(F.aggregate("inner", F.lit(0).cast("long"), lambda a, x: a + x + 1), F.lit(0)))).alias("end"))
+    runs = placed.where("n_ends > 1").select("file", "rank", "base", F.posexplode("inner").alias("i", "one"))
+    inner = runs.select("file", (F.col("rank") + F.col("i") + 1).alias("ordinal"), (F.col("base") + F.col("one.at")).alias("start"), F.col("one.n").alias("n_tokens"), F.lit(True).alias("terminated"))
+    last = placed.groupBy("file").agg(F.sum("n_tokens").alias("all"), F.sum("n_ends").alias("ordinal"), F.max(F.col("base") + F.col("last_end")).alias("end"))
     start = F.coalesce(F.col("end"), none) + 1
     rest = last.where(start < F.col("all")).select("file", "ordinal", start.alias("start"), (F.col("all") - start).alias("n_tokens"), F.lit(False).alias("terminated"))
     return first.unionByName(inner).unionByName(rest)

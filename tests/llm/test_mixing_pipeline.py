@@ -76,6 +76,16 @@ def test_repeated_rows_of_the_mix(spark):
     assert out.columns == docs.columns
     times = Counter(r.doc_id for r in out.collect())
     assert max(times.values()) <= 6 and 2000 not in times
+    assert sum(len(r.text.split()) for r in out.collect()) == sum(r.taken for r in mix(spark, docs).collect())
+
+
+def test_rows_without_an_id_are_mixed(spark):
+    rows = [(None, f"w{i} " * 10, "a") for i in range(40)] + [(None, "alike " * 10, "a")] * 30 + [(i, "b " * 10, "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mix(spark, docs).collect()
+    out = mixed_documents(spark, docs).collect()
+    assert sum(r.taken for r in taken if r.sources == ["a"]) == sum(10 for r in out if r.source == "a") > 700
+    assert all(r.doc_id is None for r in out if r.source == "a")
 
 
 def test_pipeline_stages(spark):

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from plexor.llm.ngram_join import first_of_groups, near_duplicates, tail_bits
 
@@ -104,3 +105,86 @@ def test_empty_table_and_bounds(spark):
     assert tail_bits(0.75) >= 64 and tail_bits(0.9) > tail_bits(0.75)
     with pytest.raises(ValueError):
         near_duplicates(spark, table(spark, []), percent=50)
+
+
+def test_rows_without_an_id_and_repeated_rows_go_with_their_group(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, text), (4, text + " end"), (4, text + " end"), (None, "some words of their own"), (None, "Some words of their own"), (8, ""), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, __none int, __id int, __raw int")
+    out = first_of_groups(spark, docs)
+    assert out.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["4", "8", "8", "None", "None"]
+    assert sum((r.text or "").lower().startswith("some") for r in out.collect()) == 1
+
+
+def grouped(seed, clusters, copies, boilerplate=0):
+    """Clusters of near copies, far from each other but for a passage that all share."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    shared, rows = [word() for _ in range(boilerplate)], []
+    for _ in range(clusters):
+        base = [word() for _ in range(90)]
+        for _ in range(copies):
+            w = shared + base
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(len(w))] = rng.choice(shared or ["x"]) if rng.random() < 0.3 else word()
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def counted(spark, monkeypatch, rows, **options):
+    import plexor.llm.ngram_join as module
+
+    works = []
+    whole = module.RegionJoin.__init__
+    monkeypatch.setattr(module.RegionJoin, "__init__", lambda self, *a: (works.append(self), whole(self, *a))[1])
+    got = near_duplicates(spark, table(spark, rows), **options).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
+    return sum(works[0].compared)
+
+
+def test_a_group_of_near_copies_costs_no_pairs_within(spark, monkeypatch):
+    """A group three times as large has not nine times the comparisons."""
+    small, large = (counted(spark, monkeypatch, grouped(7, 1, n), small=32) for n in (100, 300))
+    assert large < 4 * small + 400 and large < 300 * 299 / 8
+
+
+def test_regions_of_many_clusters_divide(spark, monkeypatch):
+    rows = grouped(9, 24, 8, boilerplate=30)
+    assert counted(spark, monkeypatch, rows, small=16, pivots=6) < len(rows) * (len(rows) - 1) / 6
+
+
+def test_regions_divide_without_loss(spark):
+    """One region around a point far from all, clusters that chain across the border between pivots: every link is found, with and without division."""
+    import plexor.llm.ngram_join as module
+    from plexor.llm.store import Store
+
+    rng = random.Random(21)
+    base = [[rng.getrandbits(62) for _ in range(60)] for _ in range(10)]
+    sets = []
+    for b in base:
+        for step in range(0, 40, 4):  # each links with its neighbours in the chain
+            sets.append(sorted(set(b[step:] + [rng.getrandbits(62) if i % 7 == 0 else hash((b[0], i)) for i in range(step)])))
+    link = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+    store = Store(spark, "test-regions")
+    table_ = store.put(spark.createDataFrame(list(enumerate(sets)), "c long, members array<long>"), "sets")
+    facts = [("r", 1.0, i % 3 > 0, False, i, len(s), len(s), [sum(g % 16 == k for g in s) for k in range(16)], 1.0, i) for i, s in enumerate(sets)]
+    state = store.put(spark.createDataFrame(facts, "g string, d double, core boolean, dense boolean, c long, n long, shared long, profile array<int>, common double, comp long").withColumn("g", F.xxhash64("g")), "state")
+    cored = [f[2] for f in facts]
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if (cored[a] or cored[b]) and link(set(sets[a]), set(sets[b]))}
+    for small, pivots in ((200, 4), (4, 4), (4, 12)):
+        work = module.RegionJoin(store, table_, 75, small, pivots)
+        work.run(store.put(state, "again"))
+        home = list(range(len(sets)))
+        find = lambda x: x if home[x] == x else find(home[x])
+        for r in work.links.collect():
+            assert (r.a, r.b) in want or not (cored[r.a] or cored[r.b])
+            home[find(r.a)] = find(r.b)
+        assert all(find(a) == find(b) for a, b in want)
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i % 30011}" for i in range(120_000))
+    rows = [(1, long), (2, long + " and more"), (3, "w1 w2 w3 w4 w5")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark, table(spark, rows)).collect()}
+    assert got == {1: (30011 + 0, 1), 2: (30011 + 2, 1), 3: (1, 3)}

@@ -81,3 +81,22 @@ def test_license_scan(spark):
     text = re.sub("[A-Z]", lambda m: m[0].lower(), rows[1][1])
     assert got[2].n_words == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text))
     assert licenses.license_scan(docs.where(F.lit(False))).count() == 0
+
+
+def test_places_of_phrases_by_brute_force():
+    """Every place of a base phrase, counted word by word, in texts of phrases that repeat and overlap."""
+    import random
+    import re
+
+    from plexor.llm.licenses import BASE, automaton, scan_text
+
+    rng, finder = random.Random(12), automaton()
+    parts = ["gnu general public license", "GNU lesser", "apache license", "Apache", "cc by", "cc", "by", "mit license", "license", "mit", "é", "x.y", "--", "\n", "isc license", "spdx-license-identifier: MIT\n"]
+    for _ in range(300):
+        text = rng.choice([" ", "-", "\t"]).join(rng.choices(parts, k=rng.randint(0, 60)))
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        places = [(i, p) for i in range(len(words)) for p in BASE if words[i : i + len(p.split())] == p.split()]
+        n, n_base, first, last, base, labels, _ = scan_text(text.encode(), finder)
+        assert (n, n_base) == (len(words), len(places))
+        assert (first, last) == (min((i for i, _ in places), default=None), max((i for i, _ in places), default=None))
+        assert base == {BASE[p] for _, p in places} and base <= labels

@@ -71,7 +71,7 @@ def test_crossover_and_mutation_keep_every_item_once():
     for child in (packing.crossover(a, b, lengths, 100, rng), packing.mutate(a, lengths, 100, rng)):
         assert sorted(i for c in child for i in c) == list(range(300))
         assert all(0 < sum(lengths[i] for i in c) <= 100 for c in child)
-    best = packing.evolve(lengths, 100, [a], 1, 20)
+    best, _ = packing.evolve(lengths, 100, [a], 1, 20)
     assert len(best) <= len(a)
     assert packing.fitness(best, lengths) >= packing.fitness(b, lengths) or len(best) <= len(b) + 1
 
@@ -79,7 +79,18 @@ def test_crossover_and_mutation_keep_every_item_once():
 def test_evolution_beats_best_fit():
     # Best fit decreasing needs four bins of 10 here; three are enough.
     lengths = [5, 5, 4, 4, 3, 3, 3, 3]
-    assert len(packing.evolve(lengths, 10, [], 3, 200)) == 3
+    assert len(packing.evolve(lengths, 10, [], 3, 200)[0]) == 3
+
+
+def test_evolution_packs_the_corpus(spark):
+    """Generations run on real lengths, and leave no more bins than best fit in descending order."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pieces = packing.cut_pieces(docs, tokenizer_path(), 4096, 1).where("length < 4096").select("uid", "length")
+    lengths = [r.length for r in pieces.collect()]
+    state = packing.evolved(Store(spark, "test"), pieces, 1, 4096, 2, 2, 150, 0).collect()
+    assert sum(r.ran for r in state) > 0
+    sorted_fit = packing.best_fit(sorted(range(len(lengths)), key=lambda i: -lengths[i]), lengths, 4096, [])
+    assert min(1 + max(r.elites[0]) for r in state) <= len(sorted_fit)
 
 
 def test_packing(spark, tokenizer):
@@ -108,3 +119,14 @@ def test_packing(spark, tokenizer):
     least = -(-sum(r.length for r in got) // 512)
     assert len(sequences) <= 1.02 * least + 1
     assert packing.pack_documents(spark, docs.where("doc_id = -1"), tokenizer_path()).count() == 0
+
+
+def test_a_block_full_of_empty_documents_is_stitched_in_linear_time(spark):
+    import time
+
+    n = token_counts.BLOCK // 2
+    blocks = spark.createDataFrame([(0, 0, np.full(n, 7, "<u2").tobytes())], "file long, block long, data binary")
+    began = time.time()
+    got = token_counts.stitch(Store(spark, "stitch").put(token_counts.summaries(blocks, 7), "found"))
+    assert got.agg({"n_tokens": "max", "start": "max"}).first().asDict() == {"max(n_tokens)": 0, "max(start)": n - 1}
+    assert got.count() == n and time.time() - began < 20
