@@ -94,11 +94,40 @@ def shingle_sets(docs: DataFrame, width: int, whole: bool) -> DataFrame:
     return scan(docs.select("doc_id", F.xxhash64("text").alias("raw"), "text"), build, "doc_id long, raw long, n long, d1 long, d2 long, members array<long>")
 
 
+#: Edges whose components one task finds, in some 10 MB.
+FEW_EDGES = 100_000
+
+
+def few_components(edges: DataFrame) -> DataFrame:
+    """components() of at most FEW_EDGES edges, in one task."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1) for b in batches]
+        if not pairs:
+            return
+        names, ends = np.unique(np.concatenate(pairs), return_inverse=True)
+        a, b = ends.reshape(-1, 2).T
+        label = np.arange(len(names))
+        while (label[a] != label[b]).any():
+            least = np.minimum(label[a], label[b])
+            for end in (a, b):
+                np.minimum.at(label, label[end], least)
+            label = label[label]
+        while (label[label] != label).any():
+            label = label[label]
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], ["v", "label"])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(join, "v long, label long")
+
+
 def components(store: Store, edges: DataFrame) -> DataFrame:
     """v, label: the smallest vertex that each one of edges (a, b) is connected with.
 
-    Smallest neighbouring labels with pointer jumping; every round is a written table, nothing is collected.
+    Beyond FEW_EDGES, by smallest neighbouring labels with pointer jumping; every round is a
+    written table, nothing is collected.  Components are the same either way.
     """
+    if edges.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+        return store.put(few_components(edges), "components")
     both = store.put(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = store.put(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
@@ -144,9 +173,7 @@ def possible(x: str, y: str, percent: int) -> Column:
     """May the sets of rows x and y link?  By their components, sizes and profiles."""
     of = lambda row, name: F.col(f"{row}.{name}")
     n, m = of(x, "n"), of(y, "n")
-    both = F.least(of(x, "profile")[0], of(y, "profile")[0])
-    for i in range(1, LANES):
-        both = both + F.least(of(x, "profile")[i], of(y, "profile")[i])
+    both = F.aggregate(F.zip_with(of(x, "profile"), of(y, "profile"), lambda p, q: F.least(p, q)), F.lit(0), lambda s, p: s + p)
     sized = 100 * F.least(n, m) >= percent * F.greatest(n, m)
     return (of(x, "comp") != of(y, "comp")) & sized & ((100 + percent) * F.least(of(x, "shared"), of(y, "shared")) >= percent * (n + m)) & ((100 + percent) * both >= percent * (n + m))
 
@@ -168,8 +195,8 @@ class RegionJoin:
         self.store, self.sets, self.percent, self.small, self.pivots = store, sets, percent, small, pivots
         self.reach = 1 - percent / 100
         self.links: DataFrame | None = None
-        #: Pairs compared, by level.
-        self.compared: list[int] = []
+        #: Tables of the pairs compared, by level.
+        self.compared: list[DataFrame] = []
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """a, b, ca, cb, d, linked of distinct pairs (a, b, ca, cb)."""
@@ -182,7 +209,7 @@ class RegionJoin:
         any_of = F.size("left") + F.size("right") - F.col("both")
         found = pairs.join(one, "a").join(two, "b").withColumn("both", both)
         out = self.store.put(found.select("a", "b", "ca", "cb", (1 - F.col("both") / any_of).alias("d"), (100 * F.col("both") >= self.percent * any_of).alias("linked")), "distances")
-        self.compared.append(out.count())
+        self.compared.append(out)
         linked = out.where("linked").select("a", "b")
         self.links = linked if self.links is None else self.links.unionByName(linked)
         return out

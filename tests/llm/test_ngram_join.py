@@ -140,7 +140,7 @@ def counted(spark, monkeypatch, rows, **options):
     monkeypatch.setattr(module.RegionJoin, "__init__", lambda self, *a: (works.append(self), whole(self, *a))[1])
     got = near_duplicates(spark, table(spark, rows), **options).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
-    return sum(works[0].compared)
+    return sum(t.count() for t in works[0].compared)
 
 
 def test_a_group_of_near_copies_costs_no_pairs_within(spark, monkeypatch):
@@ -183,6 +183,23 @@ def test_regions_divide_without_loss(spark):
         assert all(find(a) == find(b) for a, b in want)
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components(spark, monkeypatch, few):
+    import plexor.llm.ngram_join as module
+    from plexor.llm.store import Store
+
+    monkeypatch.setattr(module, "FEW_EDGES", few)
+    rng = random.Random(31)
+    edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(40)] + [(500, 300), (300, 400), (400, 500)]
+    home = {}
+    find = lambda x: x if home.setdefault(x, x) == x else find(home[x])
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        home[high] = low
+    got = module.components(Store(spark, "test-components"), spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.v: r.label for r in got} == {x: find(x) for x in list(home)} and len(got) == len(home)
+
+
 def test_a_very_long_text(spark):
     long = " ".join(f"w{i % 30011}" for i in range(120_000))
     rows = [(1, long), (2, long + " and more"), (3, "w1 w2 w3 w4 w5")]
