@@ -196,7 +196,7 @@ def evolved(store: Store, items: DataFrame, blocks: int, size: int, islands: int
     return state
 
 
-def pack(spark: SparkSession, items: DataFrame, size: int = 4096, block: int = 4000, islands: int = 2, epochs: int = 2, generations: int = 150, enough: float = 0.998) -> DataFrame:
+def pack(spark: SparkSession, items: DataFrame, size: int = 4096, block: int = 4000, islands: int = 2, epochs: int = 2, generations: int = 40, enough: float = 0.998) -> DataFrame:
     """uid, sequence_id, offset of items (uid, length below size), in as few sequences as it can."""
     store = Store(spark, "packing")
     done, level, before = [], 0, float("inf")
