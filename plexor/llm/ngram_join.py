@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plexor.llm.store import Store, scan, with_ids, without
+from plexor.llm.store import Store, release, scan, with_ids, without
 from plexor.llm.words import slabs, windows
 
 SKETCH = 64
@@ -166,6 +166,7 @@ def seeds(store: Store, sets: DataFrame, percent: int) -> tuple[DataFrame, DataF
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     prefix = store.put(ranked.where(F.col("place") <= length - (F.col("n") - F.col("shared"))).select("g", "c"), "prefixes")
     store.drop(held)
+    release(sets.sparkSession)
     return facts, prefix
 
 
@@ -306,9 +307,11 @@ def joined(spark: SparkSession, docs: DataFrame, percent: int, width: int, small
     heads = sketched.join(classes.where("n > 0").select(F.col("c").alias("row")), "row", "left_semi").select(F.col("row").alias("c"), F.explode("members").alias("g"))
     heads = store.put(heads, "heads")
     store.drop(sketched)
+    release(spark)
     some = heads.join(held_twice(heads).select("g"), "g").groupBy("c").agg(F.count("*").alias("met"))
     wanted = store.put(some.join(classes, "c").where(F.col("met") >= needed(F.col("n"), percent)).select("c", "d1", "d2", "n"), "wanted")
     store.drop(heads)
+    release(spark)
 
     raws = store.put(with_ids(signed.withColumnRenamed("row", "c"), wanted.select("c"), ["c"]).select("raw").distinct(), "raws")
     texts = with_ids(docs.select("doc_id", "text", F.xxhash64("text").alias("raw")), raws, ["raw"])

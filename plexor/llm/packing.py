@@ -63,9 +63,13 @@ def cut_pieces(docs: DataFrame, path: str, size: int, end: int) -> DataFrame:
     return scan(docs.select("doc_id", "text"), cut, PIECES)
 
 
+def load(items: list[int], lengths: list[int]) -> int:
+    return sum(map(lengths.__getitem__, items))
+
+
 def best_fit(items: list[int], lengths: list[int], size: int, bins: Bins) -> Bins:
     """Puts each item, in order, into the fullest bin that has room."""
-    room = sorted((size - sum(lengths[i] for i in b), k) for k, b in enumerate(bins))
+    room = sorted((size - load(b, lengths), k) for k, b in enumerate(bins))
     for i in items:
         at = bisect_left(room, (lengths[i], -1))
         if at == len(room):
@@ -80,12 +84,12 @@ def best_fit(items: list[int], lengths: list[int], size: int, bins: Bins) -> Bin
 
 def fitness(bins: Bins, lengths: list[int]) -> tuple[int, int]:
     """Fewer bins are better; of as many, those filled most unevenly, as they leave the most usable room."""
-    return -len(bins), sum(sum(lengths[i] for i in b) ** 2 for b in bins)
+    return -len(bins), sum(load(b, lengths) ** 2 for b in bins)
 
 
 def crossover(to: Bins, source: Bins, lengths: list[int], size: int, rng: random.Random) -> Bins:
     """Whole well-filled bins of source in `to`, without duplicates, the displaced items by best fit."""
-    well = [b for b in source if sum(lengths[i] for i in b) >= size * 0.995] or source
+    well = [b for b in source if load(b, lengths) >= size * 0.995] or source
     taken = rng.sample(well, max(1, len(well) // rng.randint(2, 4)))
     inside = {i for b in taken for i in b}
     kept, displaced = [list(b) for b in taken], []
@@ -98,7 +102,7 @@ def crossover(to: Bins, source: Bins, lengths: list[int], size: int, rng: random
 
 
 def mutate(bins: Bins, lengths: list[int], size: int, rng: random.Random) -> Bins:
-    order = sorted(bins, key=lambda b: sum(lengths[i] for i in b))
+    order = sorted(bins, key=lambda b: load(b, lengths))
     n = min(len(order), 2 + rng.randrange(1 + len(order) // 20))
     displaced = [i for b in order[:n] for i in b]
     extra = rng.sample(order[n:], min(len(order) - n, n))
@@ -115,7 +119,7 @@ def evolve(lengths: list[int], size: int, elites: list[Bins], seed: int, generat
     least = -(-sum(lengths) // size)
     order = list(range(len(lengths)))
     pool = list(elites)
-    while len(pool) < population:
+    while len(pool) < population and min(map(len, pool), default=least + 1) > least:
         rng.shuffle(order)
         pool.append(best_fit(order, lengths, size, []))
     scored = [(fitness(b, lengths), b) for b in pool]

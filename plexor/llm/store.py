@@ -7,6 +7,7 @@ lineage: a lost executor costs the re-read of a file, never a recomputation of w
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,6 +77,12 @@ def closing() -> Iterator[None]:
             store.close()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that are over: it does so once both garbage collectors have seen them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Keys that may be broadcast: at most a million rows of numbers.  A hashed relation takes up to some 40 bytes a row and 8 a column, so 64 MB.
 BROADCAST_KEYS = 1_000_000
 _FIXED = {"bigint", "int", "boolean", "double", "smallint", "tinyint"}

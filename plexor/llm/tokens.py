@@ -19,8 +19,8 @@ import numpy as np
 
 from plexor.llm.words import Slab
 
-#: Distinct runs that one Python worker remembers, some 40 MB; beyond, those that were met in one block alone are forgotten.
-MEMO = 200_000
+#: Distinct runs that one Python worker remembers, some 60 MB; beyond, those that were met in one block alone are forgotten.
+MEMO = 400_000
 
 _SPACES = [9, 10, 11, 12, 13, 32]
 #: Classes of bytes: 0 space, 1 letter, 2 digit, 3 other.
