@@ -47,7 +47,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexor.llm.store import Store, release, scan, with_ids, without
@@ -152,22 +152,35 @@ def held_twice(members: DataFrame) -> DataFrame:
     return members.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
 
 
-def seeds(store: Store, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(facts of the sets that can link at all, with c, n, shared, profile, common; their prefixes g, c)."""
-    tokens = sets.select("c", F.size("members").cast("long").alias("n"), F.explode("members").alias("g"))
-    held = store.put(tokens.join(held_twice(tokens.select("c", "g")), "g"), "held")
-    lane = F.pmod("g", F.lit(LANES))
-    profile = F.array(*[F.count(F.when(lane == i, 1)).cast("int") for i in range(LANES)])
-    facts = held.groupBy("c").agg(F.first("n").alias("n"), F.count("*").alias("shared"), profile.alias("profile"), F.sum(F.log2("df")).alias("common"))
-    facts = store.put(facts.where(100 * F.col("shared") >= percent * F.col("n")), "facts")
-    own = Window.partitionBy("c").orderBy("df", "g")  # a set at most
-    ranked = held.join(facts.select("c", "shared"), "c").withColumn("place", F.row_number().over(own))
-    # Members of one set alone come first in its order; a prefix ends so many places earlier among the others.
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = store.put(ranked.where(F.col("place") <= length - (F.col("n") - F.col("shared"))).select("g", "c"), "prefixes")
-    store.drop(held)
+def ranked(held: DataFrame, percent: int) -> DataFrame:
+    """c, n, shared, profile, common and prefix of the sets that can link at all, from c, n and held (df and g of each shared member)."""
+    names = ["c", "n", "shared", "profile", "common", "prefix"]
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for c, n, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                df, g = (x.to_numpy() for x in members.values.flatten())
+                if 100 * len(g) < percent * n:
+                    continue
+                # Members of one set alone come first in its order; a prefix ends so many places earlier among the others.
+                length = n + (-n * percent) // 100 + 1 - (n - len(g))
+                prefix = g[np.lexsort((g, df))[: max(0, length)]]
+                rows.append((c, n, len(g), np.bincount(g % LANES, minlength=LANES).astype(np.int32), float(np.log2(df).sum()), prefix))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.float64(), pa.list_(pa.int64())]
+            columns = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(columns, kinds)], names)
+
+    return scan(held.select("c", "n", "held"), rank, "c long, n long, shared long, profile array<int>, common double, prefix array<long>")
+
+
+def seeds(store: Store, sets: DataFrame, wanted: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(facts of the sets that can link at all, with c, n, shared, profile, common; their prefixes g, c).  wanted: c, n of the sets."""
+    tokens = sets.select("c", F.explode("members").alias("g"))
+    held = tokens.join(held_twice(tokens), "g").groupBy("c").agg(F.collect_list(F.struct("df", "g")).alias("held"))  # a set at most
+    facts = store.put(ranked(with_ids(held, wanted, ["c"], "inner"), percent), "facts")
     release(sets.sparkSession)
-    return facts, prefix
+    return facts.drop("prefix"), facts.select(F.explode("prefix").alias("g"), "c")
 
 
 def possible(x: str, y: str, percent: int) -> Column:
@@ -319,7 +332,7 @@ def joined(spark: SparkSession, docs: DataFrame, percent: int, width: int, small
     sets = store.put(whole.select("c", "members"), "sets")
 
     work = RegionJoin(store, sets, percent, small, pivots)
-    work.run(work.first_level(*seeds(store, sets, percent)))
+    work.run(work.first_level(*seeds(store, sets, wanted.select("c", "n"), percent)))
     labels = components(store, work.links).select(F.col("v").alias("c"), "label")
     placed = store.put(classes.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")).select("d1", "d2", "n", "label", "first"), "labelled")
     least = placed.groupBy("label").agg(F.min("first").alias("least"))
