@@ -37,8 +37,8 @@ def _h(p: str, r: int) -> str:
 
 
 WITH = f"""
-WITH lp AS (SELECT DISTINCT o_orderpriority AS layer, l_orderkey AS o, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-mx AS (SELECT a.layer, a.p AS u, b.p AS v, count(*)::DOUBLE AS w FROM lp a JOIN lp b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2, 3),
+WITH lp AS MATERIALIZED (SELECT DISTINCT o_orderpriority AS layer, l_orderkey AS o, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+mx AS MATERIALIZED (SELECT a.layer, a.p AS u, b.p AS v, count(*)::DOUBLE AS w FROM lp a JOIN lp b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2, 3),
 bo AS (SELECT layer, u, v, w FROM mx UNION ALL SELECT layer, v, u, w FROM mx),
 nodes AS (SELECT p_partkey AS node FROM part),
 lab AS (SELECT p_partkey AS node, (p_size % 10)::BIGINT AS label FROM part),
@@ -142,21 +142,16 @@ def so6_node_set(spark, d):
     return graph.layer_nodes(mx(spark, d))
 
 
-_RAW = "(SELECT layer, a.p AS u, b.p AS v FROM lp a JOIN lp b USING (layer, o) WHERE a.p % 10 = 0)"
+_RAW = "(SELECT layer, a.p AS u, b.p AS v FROM lp a JOIN lp b USING (layer, o))"
 
 
-def _whole(spark: SparkSession, d: str) -> DataFrame:
+def _raw(spark: SparkSession, d: str) -> DataFrame:
     """Directed, repeated edges with loops, from every part."""
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"))
     pairs = lines.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_orderpriority").alias("layer")), "o").distinct()
     return pairs.withColumnRenamed("p", "u").join(pairs.withColumnRenamed("p", "v"), ["o", "layer"]).select("layer", "u", "v", F.lit(1.0).alias("w"))
 
 
-def _raw(spark: SparkSession, d: str) -> DataFrame:
-    """Those from every tenth part."""
-    return _whole(spark, d).where("u % 10 = 0")
-
-
 @query(f"SELECT layer, u, v, count(*) AS n FROM {_RAW} WHERE u <> v GROUP BY 1, 2, 3")
 def pf3_no_loops(spark, d):
     return graph.no_loops(_raw(spark, d)).groupBy("layer", "u", "v").agg(F.count("*").alias("n"))
@@ -177,26 +172,6 @@ def ag2_sum_dups(spark, d):
     return graph.summed(_raw(spark, d))
 
 
-# The three clean-up operators on edges from all parts, beside the registered ones of every tenth
-
-_WHOLE = "(SELECT layer, a.p AS u, b.p AS v FROM lp a JOIN lp b USING (layer, o))"
-
-
-@query(f"SELECT layer, u, v, count(*) AS n FROM {_WHOLE} WHERE u <> v GROUP BY 1, 2, 3")
-def pf3_no_loops_whole(spark, d):
-    return graph.no_loops(_whole(spark, d)).groupBy("layer", "u", "v").agg(F.count("*").alias("n"))
-
-
-@query(f"SELECT DISTINCT layer, u, v, 1.0::DOUBLE AS w FROM {_WHOLE}")
-def ag1_clip_dups_whole(spark, d):
-    return graph.clipped(_whole(spark, d))
-
-
-@query(f"SELECT layer, u, v, count(*)::DOUBLE AS w FROM {_WHOLE} GROUP BY 1, 2, 3")
-def ag2_sum_dups_whole(spark, d):
-    return graph.summed(_whole(spark, d))
-
-
 @query("SELECT layer, u, v, w FROM mx WHERE u IN (SELECT node FROM (SELECT node FROM nodes ORDER BY md5('0:' || node), node LIMIT 500)) AND v IN (SELECT node FROM (SELECT node FROM nodes ORDER BY md5('0:' || node), node LIMIT 500))")
 def j2_restrict_nodes(spark, d):
     few = graph.sampled_nodes(nodes_of(spark, d), 500)

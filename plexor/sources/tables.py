@@ -12,6 +12,9 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only where that is unset (tests, a laptop)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="plexor-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -130,9 +130,9 @@ def test_clean_up_sees_the_edges_of_every_part(spark):
         parts.setdefault(r.l_orderkey, set()).add(r.l_partkey)
     want = Counter((layer[o], u, v) for o, ps in parts.items() for u in ps for v in ps)
     got = lambda name, n: {(r.layer, r.u, r.v): r[n] for r in QUERIES[name](spark, d).collect()}
-    assert got("ag2_sum_dups_whole", "w") == want
-    assert got("ag1_clip_dups_whole", "w") == dict.fromkeys(want, 1.0)
-    assert got("pf3_no_loops_whole", "n") == {k: n for k, n in want.items() if k[1] != k[2]}
+    assert got("ag2_sum_dups", "w") == want
+    assert got("ag1_clip_dups", "w") == dict.fromkeys(want, 1.0)
+    assert got("pf3_no_loops", "n") == {k: n for k, n in want.items() if k[1] != k[2]}
     assert any(u % 10 for _, u, _ in want)
 
 
@@ -149,3 +149,34 @@ def test_louvain_as_plans_runs_until_no_move_gains(spark):
     for pair, w in links.items():
         if len(pair) == 2:
             assert w <= math.prod(filled[x] for x in pair) / (2 * n) + 1e-9
+
+
+@pytest.mark.parametrize("seed", [0, 3])
+def test_louvain_is_the_same_in_a_task_and_as_plans(spark, seed):
+    """Rings of cliques with weights, a planted graph, loops, and what contraction makes of them: equal labels either way."""
+    from plexor.operators.cluster import louvain_local
+
+    rng = __import__("random").Random(seed)
+    ring = [(10 * i + a, 10 * i + b, 2.0) for i in range(8) for a in range(5) for b in range(a)] + [(10 * i, 10 * ((i + 1) % 8) + 1, 1.0) for i in range(8)] + [(3, 3, 4.0)]
+    loose = [(rng.randrange(80), rng.randrange(80), float(rng.randint(1, 3))) for _ in range(240)]
+    weights = {}
+    for u, v, w in loose:
+        weights[min(u, v), max(u, v)] = weights.get((min(u, v), max(u, v)), 0) + w
+    rows = [("ring", min(u, v), max(u, v), w) for u, v, w in ring] + [("loose", u, v, w) for (u, v), w in weights.items()]
+    edges = spark.createDataFrame(rows, "layer string, u long, v long, w double")
+    of = lambda df: {(r.layer, r.node): r.label for r in df.collect()}
+    local = of(louvain(edges, seed))
+    assert local == of(louvain_local(edges, seed)) == of(louvain(edges, seed, most=0)) == of(louvain(edges, seed, most=100))
+    assert len({x for (layer, _), x in local.items() if layer == "ring"}) <= 8
+
+
+def test_hash_is_spark_s(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from plexor.operators.cluster import xxhash64
+
+    values = [0, 1, -1, 2**40, -(2**63), 2**63 - 1]
+    got = spark.createDataFrame([(x,) for x in values], "x long").select(F.xxhash64("x", F.lit(7)).alias("h"), F.xxhash64("x", F.lit(-3)).alias("n")).collect()
+    assert [r.h for r in got] == xxhash64(np.array(values), 7).view(np.int64).tolist()
+    assert [r.n for r in got] == xxhash64(np.array(values), -3).view(np.int64).tolist()
