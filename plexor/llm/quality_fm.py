@@ -12,7 +12,9 @@ document is then scored, whole.
 
 Defined cases: null and empty texts have no words and are scored by their structure; without
 labels of both kinds the score is the share of label 1 (0.5 without any label); conflicting
-labels of one document all count; null metadata is a value of its own.
+labels of one document all count; null metadata is a value of its own; repeated rows are
+scored each and alike, as are equal texts; an empty table gives an empty result; texts of
+any length are read whole; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -135,7 +137,9 @@ def _meta(columns: list[pa.Array], names: list[str]) -> np.ndarray | None:
 def train(docs: DataFrame, labels: DataFrame, metadata: list[str] = (), sample: int = 6000, rank: int = 8, updates: int = 18_000, rate: float = 0.05, decay: float = 1e-5, seed: int = 11) -> Machine:
     """labels: doc_id, y (0 or 1)."""
     picked = labels.where("doc_id is not null and y is not null").select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    chosen = docs.select("doc_id", "text", *metadata).join(F.broadcast(picked), "doc_id")  # at most `sample` rows
+    first = docs.where("doc_id is not null").select("doc_id", "text", *metadata).join(F.broadcast(picked.select("doc_id").distinct()), "doc_id")
+    once = first.groupBy("doc_id").agg(F.min(F.struct("text", *metadata)).alias("first")).select("doc_id", "first.*")  # a document listed more than once counts as one
+    chosen = once.join(F.broadcast(picked), "doc_id")  # at most `sample` rows
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

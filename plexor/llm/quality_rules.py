@@ -12,7 +12,8 @@ much for a task of any size; the model (two arrays of 2^16 numbers) is bounded.
 
 Defined cases: null and empty texts have no words and fail the base rules; without any
 trusted document the base rules decide alone; a document labelled more than once is trusted
-if one label says so; texts are read whole.
+if one label says so; texts of any length are read whole; repeated rows count and are judged
+each; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

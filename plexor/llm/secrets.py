@@ -6,8 +6,10 @@ characters of ``[A-Za-z0-9+/_=-]`` that no pattern has found is scored by the lo
 ratio per character; above `threshold` it is a span of kind ``random``.  Base spans of the
 patterns always stay.
 
-Defined cases: null and empty texts have no spans; offsets are code points; long texts are
-scanned whole.
+Defined cases: null and empty texts have no spans; offsets are code points; texts of any
+length are scanned whole; repeated rows are scanned each; an empty table gives an empty
+result (and models of the samples that need no documents); further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

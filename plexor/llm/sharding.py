@@ -13,7 +13,9 @@ the rest independently, in descending order of demand.  An error of a cell is at
 last, smallest units.  Ids, sizes and hashes are all that is shuffled, never texts.
 
 Defined cases: null text has no bytes, no tokens and CRC 0, and is a group of its own; repeated rows are rows of
-one group, each with a slot; null ids sort first; an empty table gives an empty result.
+one group, each with a slot; a very long text is a unit of its own, measured whole; null
+ids sort first; an empty table gives an empty result; further columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

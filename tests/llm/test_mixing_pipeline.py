@@ -109,3 +109,32 @@ def test_pipeline_stages(spark):
     from plexor.llm.ngram_join import near_duplicates
 
     assert near_duplicates(spark, docs).where("doc_id <> component_id").count() == 0
+
+
+def test_whole_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, ties and clashing names, through run()."""
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    words = [("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8)))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    plain = [(i, text(60), "en", f"src{i % 3}", 1) for i in range(60)]
+    near = plain[3][1].split()
+    near[30] = "other"
+    rows = plain + [plain[0], (70, plain[1][1] + " ", "en", "src1", 1), (None, plain[2][1], None, None, None), (None, " ".join(plain[5][1].split()[:40] + plain[6][1].split()[:40]), None, None, None), (71, " ".join(near), "en", "src0", 1), (72, None, "en", "src0", 1), (73, "", None, "src1", None), (74, text(30_000), "en", "src2", 1), (None, None, None, None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, __id int, kept int, row int"
+    spark.createDataFrame([(*r, 1, 2, 3) for r in rows], kind).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(74, 1, 0), (74, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, d = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, out, d)
+        assert out.columns == docs.columns
+    kept = out.collect()
+    ids = [r.doc_id for r in kept]
+    assert sorted(i for i in ids if i is not None) == [*range(60), 74] and ids.count(None) == 1
+    packed = corpus_pipeline.run(spark, d).collect()
+    assert {r.doc_id for r in packed} <= {*range(60), 74, None} and max(r.offset + r.length for r in packed) <= 4096
+    docs.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
