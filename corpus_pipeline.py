@@ -1,7 +1,13 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage gets all that its predecessor kept, written as Parquet in the shared folder and
-read again, so a lost executor never costs more than one stage.
+read again, so a lost executor never costs more than one stage.  A stage's own tables are
+deleted once its result is written.
+
+Defined cases, in every stage: null, empty and blank texts have no words, fail the quality
+rules and go there; rows without an id are judged by their text as all others are, and stay
+in a group only if no row with an id does; of repeated rows one stays; very long texts are
+read whole; an empty table gives an empty one; all further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from plexor.llm.ngram_join import first_of_groups
 from plexor.llm.packing import pack_documents
 from plexor.llm.quality_rules import kept_documents
 from plexor.llm.queries import tokenizer_path
-from plexor.llm.store import Store
+from plexor.llm.store import Store, closing, release
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store = Store(spark, "pipeline")
     for name, stage in STAGES:
-        docs = store.put(stage(spark, docs, sf_dir), name)
+        with closing():
+            docs = store.put(stage(spark, docs, sf_dir), name)
+        release(spark)
     return docs
