@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexor.functions.arrays import dot, finite, l1_rows, literal, soft_threshold, total
@@ -122,6 +122,17 @@ def objective(norms: dict[str, float], g: np.ndarray, b: dict[str, np.ndarray],
     return float(sum(weights[x] * (norms[x] + np.sum((d[x][:, None] * g) * (d[x][:, None] * g).T) - 2 * d[x] @ b[x]) for x in norms))
 
 
+def squared_norms(both: DataFrame) -> DataFrame:
+    """layer, norm: ||A||^2."""
+    return both.groupBy("layer").agg(F.sum(F.col("w") * F.col("w")).alias("norm"))
+
+
+def convergence(history: DataFrame) -> DataFrame:
+    """run, iter, obj, rel: the relative change of the objective from the iteration before."""
+    prev = F.lag("obj").over(Window.partitionBy("run").orderBy("iter"))  # a row for each iteration
+    return history.withColumn("prev", prev).select("run", "iter", "obj", (F.abs(F.col("prev") - F.col("obj")) / (F.abs("prev") + EPS)).alias("rel"))
+
+
 def modularity_product(aggregate: DataFrame, h: DataFrame, k: int) -> DataFrame:
     """node, bh: (A - d d^T / 2m) H of one weighted graph (u, v, w in both directions)."""
     ah = spmm(aggregate.withColumn("layer", F.lit("a")), h, k).select("node", "ah")
@@ -191,7 +202,7 @@ def train(both: DataFrame, start: DataFrame, k: int, rule: Rule = MAIN, weights:
     whose result serves D, the numerator and the objective; H is then written, so plans
     stay short and a lost executor costs one file's re-read.
     """
-    norms = {r["layer"]: r["s"] for r in both.groupBy("layer").agg(F.sum(F.col("w") * F.col("w")).alias("s")).collect()}
+    norms = {r["layer"]: r["norm"] for r in squared_norms(both).collect()}  # a row for each layer
     w = weights or {x: 1.0 for x in norms}
     h, history, damping = settled(start, "h"), [], 0.1
     g = gram(h, k)

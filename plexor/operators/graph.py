@@ -33,12 +33,21 @@ def node_index(nodes: DataFrame) -> DataFrame:
 
     Nodes are sorted by ranges; a range's offset is the number of nodes in those before it.
     """
-    text = F.col("node").cast("string")
-    ranged = settled(nodes.select("node").distinct().repartitionByRange(text).sortWithinPartitions(text).select("node", F.spark_partition_id().alias("part")), "ranged-nodes")
+    return places(nodes.select("node").distinct(), F.col("node").cast("string"), "node", "idx")
+
+
+def places(rows: DataFrame, order: Column, key: str, name: str) -> DataFrame:
+    """key, name: places from 0 of rows in a total order."""
+    ranged = settled(rows.select(key, order.alias("at")).repartitionByRange("at").select(key, "at", F.spark_partition_id().alias("part")), "ranged")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("part").agg(F.count("*").alias("k")).select("part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))  # a row for each partition
-    place = F.row_number().over(Window.partitionBy("part").orderBy(text)) - 1
-    return ranged.withColumn("place", place).join(F.broadcast(offsets), "part").select("node", (F.col("base") + F.col("place")).alias("idx"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1
+    return ranged.withColumn("place", place).join(F.broadcast(offsets), "part").select(key, (F.col("base") + F.col("place")).alias(name))
+
+
+def restricted(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges whose ends are both among nodes."""
+    return edges.join(nodes.select(F.col("node").alias("u")), "u", "left_semi").join(nodes.select(F.col("node").alias("v")), "v", "left_semi").select(edges.columns)
 
 
 def indexed(edges: DataFrame, index: DataFrame) -> DataFrame:
@@ -52,9 +61,11 @@ def no_loops(edges: DataFrame) -> DataFrame:
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge; a loop stays once."""
-    turned = edges.where("u <> v").select(*[F.col({"u": "v", "v": "u"}.get(c, c)).alias(c) for c in edges.columns])
-    return edges.unionByName(turned)
+    """Both directions of every edge; a loop stays once.  Edges are read, and what makes them is planned, once."""
+    there, back = F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
+    rest = [c for c in edges.columns if c not in ("u", "v")]
+    turned = edges.select(*rest, F.explode(F.when(F.col("u") != F.col("v"), F.array(there, back)).otherwise(F.array(there))).alias("ends"))
+    return turned.select(*[F.col(f"ends.{c}") if c in ("u", "v") else F.col(c) for c in edges.columns])
 
 
 def upper(edges: DataFrame) -> DataFrame:
@@ -136,17 +147,22 @@ def sampled_nodes(nodes: DataFrame, most: int, seed: int = 0) -> DataFrame:
 
 
 def held_out(canonical: DataFrame, share: float, seed: int = 0) -> DataFrame:
-    """layer, u, v of max(1, floor(share * m)) edges of each layer; none of a layer with at most one edge.
+    """layer, u, v of max(1, floor(share * m)) edges of each layer; none of a layer with at most one edge, or without a share."""
+    if share <= 0:
+        return canonical.select("layer", "u", "v").limit(0)
+    return sampled_edges(canonical, share, seed, smallest=2)
+
+
+def sampled_edges(canonical: DataFrame, share: float, seed: int = 0, smallest: int = 1) -> DataFrame:
+    """layer, u, v of max(1, floor(share * m)) edges of each layer of at least `smallest` edges.
 
     The cut is found on counts by hash prefix, so only the edges of one prefix in each layer are ordered one by one.
     """
-    if share <= 0:
-        return canonical.select("layer", "u", "v").limit(0)
     keyed = canonical.select("layer", "u", "v", hashed(seed, "layer", "u", "v").alias("key")).withColumn("prefix", F.substring("key", 1, 3))
     counts = keyed.groupBy("layer", "prefix").agg(F.count("*").alias("k"))
     every = Window.partitionBy("layer")
     run = every.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    want = F.when(F.sum("k").over(every) > 1, F.greatest(F.lit(1), F.floor(F.sum("k").over(every) * F.lit(share)))).otherwise(0)
+    want = F.when(F.sum("k").over(every) >= smallest, F.greatest(F.lit(1), F.floor(F.sum("k").over(every) * F.lit(share)))).otherwise(0)
     plan = counts.select("layer", "prefix", F.coalesce(F.sum("k").over(run), F.lit(0)).alias("before"), want.alias("want")).where("before < want")
     place = F.row_number().over(Window.partitionBy("layer", "prefix").orderBy("key", "u", "v"))
     return keyed.join(plan, ["layer", "prefix"]).withColumn("place", place).where("before + place <= want").select("layer", "u", "v")
@@ -156,15 +172,40 @@ def without(canonical: DataFrame, gone: DataFrame) -> DataFrame:
     return canonical.join(gone, ["layer", "u", "v"], "left_anti")
 
 
-def negative_pairs(canonical: DataFrame, index: DataFrame, count: int, seed: int = 0, rounds: int = 4) -> DataFrame:
-    """u, v: pairs of distinct nodes that no edge joins, from index (node, idx from 0); fewer than count if too few are drawn.
+def free_pairs(pairs: DataFrame, canonical: DataFrame) -> DataFrame:
+    """Pairs (u < v) that no edge joins."""
+    return pairs.join(canonical.select("u", "v"), ["u", "v"], "left_anti")
+
+
+def negative_pairs(canonical: DataFrame, index: DataFrame, count: int, seed: int = 0) -> DataFrame:
+    """u, v: `count` pairs of distinct nodes that no edge joins, from index (node, idx from 0); a pair may come twice.
 
-    `rounds` times as many candidates are drawn by hash, so a complete graph ends with none.
+    Pairs are drawn by hash until there are enough, each time as many as the share of free
+    pairs asks for; only a graph without a free pair ends with none.
     """
-    n = index.count()
+    spark, n = canonical.sparkSession, index.count()
+    joined = restricted(upper(canonical).select("u", "v").distinct(), index).count()
+    share = (n * (n - 1) - 2 * joined) / max(n * n, 1)  # of all draws
     draw = lambda salt: F.pmod(F.xxhash64("id", F.lit(f"{seed}:{salt}")), F.lit(max(n, 1)))
-    drawn = canonical.sparkSession.range(count * rounds).select("id", draw("u").alias("a"), draw("v").alias("b")).where("a <> b")
     of = lambda at, end: index.select(F.col("idx").alias(at), F.col("node").alias(end))
-    pairs = drawn.join(of("a", "x"), "a").join(of("b", "y"), "b").select("id", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-    free = pairs.join(canonical.select("u", "v"), ["u", "v"], "left_anti")
-    return free.orderBy("id").limit(count).select("u", "v")
+    found, have, start = None, 0, 0
+    while share > 0 and have < count:
+        stop = start + int((count - have) / share * 1.1) + 100
+        drawn = spark.range(start, stop).select("id", draw("u").alias("a"), draw("v").alias("b")).where("a <> b")
+        pairs = drawn.join(of("a", "x"), "a").join(of("b", "y"), "b").select("id", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+        more = settled(free_pairs(pairs, canonical).select("id", "u", "v"), "negatives")
+        found, have, start = more if found is None else found.unionByName(more), have + more.count(), stop
+    if found is None:
+        return canonical.select("u", "v").limit(0)
+    return _first(found, count).select("u", "v")
+
+
+def _first(rows: DataFrame, count: int) -> DataFrame:
+    """The `count` rows of least id (unique, long); only the block of ids that holds the cut is put in order."""
+    rows = rows.withColumn("block", F.shiftright("id", 16))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("block").agg(F.count("*").alias("k")).select("block", "k", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("before"))  # a row for 65,536 draws
+    cut = blocks.where(F.col("before") + F.col("k") >= count).orderBy("block").limit(1).first()
+    if cut is None:
+        return rows
+    return rows.where(F.col("block") < cut["block"]).unionByName(rows.where(F.col("block") == cut["block"]).orderBy("id").limit(count - cut["before"]))

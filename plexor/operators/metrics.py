@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexor.operators.graph import places
+from plexor.sources.tables import settled
+
 
 def labelled(both: DataFrame, labels: DataFrame) -> DataFrame:
     of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
@@ -16,8 +19,8 @@ def modularity(canonical: DataFrame, labels: DataFrame) -> DataFrame:
     met = labelled(canonical, labels)
     ends = met.select("layer", F.explode(F.array(F.struct(F.col("lu").alias("label"), "w", F.when(F.col("lu") == F.col("lv"), F.col("w")).otherwise(0.0).alias("inside")), F.struct(F.col("lv").alias("label"), "w", F.lit(0.0).alias("inside")))).alias("e"))
     per = ends.groupBy("layer", "e.label").agg(F.sum("e.inside").alias("inside"), F.sum("e.w").alias("degree"))
-    m = F.sum("degree").over(Window.partitionBy("layer")) / 2  # a row for each community
-    return per.withColumn("m", m).groupBy("layer").agg(F.sum(F.col("inside") / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), F.lit(2))).alias("modularity"))
+    whole = per.groupBy("layer").agg(F.sum("inside").alias("inside"), F.sum("degree").alias("both"), F.sum(F.pow("degree", F.lit(2))).alias("squares"))
+    return whole.select("layer", (2 * F.col("inside") / F.nullif("both", F.lit(0.0)) - F.col("squares") / F.pow(F.nullif("both", F.lit(0.0)), F.lit(2))).alias("modularity"))
 
 
 def mean_modularity(per_layer: DataFrame) -> DataFrame:
@@ -30,11 +33,12 @@ def conductance(canonical: DataFrame, labels: DataFrame) -> DataFrame:
     ends = met.select("layer", F.explode(F.array("lu", "lv")).alias("label"), (F.col("lu") != F.col("lv")).cast("long").alias("cut"))
     per = ends.groupBy("layer", "label").agg(F.sum("cut").alias("cut"), F.count("*").alias("volume"))
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    layers = canonical.select("layer").distinct()
-    every = layers.withColumn("one", F.lit(1)).join(sizes.withColumn("one", F.lit(1)), "one").drop("one")
-    nodes = Window.partitionBy("layer")
-    full = every.join(per, ["layer", "label"], "left").fillna(0, ["cut", "volume"])
-    full = full.withColumn("nodes", F.sum("size").over(nodes)).withColumn("rest", F.sum("volume").over(nodes) - F.col("volume")).where((F.col("size") > 0) & (F.col("size") < F.col("nodes")))
+    nodes = labels.count()
+    names = [F.lit(r["layer"]) for r in canonical.select("layer").distinct().collect()]  # a row for each layer
+    every = sizes.select("label", "size", F.explode(F.array(*names)).alias("layer")) if names else sizes.select("label", "size", F.lit(None).cast("string").alias("layer")).limit(0)
+    volumes = per.groupBy("layer").agg(F.sum("volume").alias("all"))
+    full = every.where((F.col("size") > 0) & (F.col("size") < nodes)).join(per, ["layer", "label"], "left").fillna(0, ["cut", "volume"])
+    full = full.join(F.broadcast(volumes), "layer").withColumn("rest", F.col("all") - F.col("volume"))  # a row for each layer
     least = F.least("volume", "rest")
     return full.groupBy("layer").agg(F.avg(F.col("cut") / F.when(least > 0, least).otherwise(1)).alias("conductance"))
 
@@ -43,33 +47,44 @@ def contingency(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("node", F.col("label").alias("a")).join(right.select("node", F.col("label").alias("b")), "node").groupBy("a", "b").agg(F.count("*").alias("k"))
 
 
+def _groups(table: DataFrame, *by: str) -> DataFrame:
+    """by, side, k: sizes of the cells ("ab") and of both sides' groups of a contingency table, in one pass."""
+    none = lambda c: F.lit(None).cast(table.schema[c].dataType).alias(c)
+    sides = F.array(
+        F.struct(F.lit("ab").alias("side"), F.col("a"), F.col("b")),
+        F.struct(F.lit("a").alias("side"), F.col("a"), none("b")),
+        F.struct(F.lit("b").alias("side"), none("a"), F.col("b")),
+    )
+    return table.select(*by, F.explode(sides).alias("s"), "k").groupBy(*by, "s.side", "s.a", "s.b").agg(F.sum("k").cast("double").alias("k"))
+
+
+def _nmi(table: DataFrame, *by: str) -> DataFrame:
+    of = lambda side, value: F.sum(F.when(F.col("side") == side, value))
+    weigh = F.col("k") * F.log("k")
+    sums = _groups(table, *by).groupBy(*by).agg(of("ab", F.col("k")).alias("n"), *[of(x, weigh).alias(f"e{x}") for x in ("ab", "a", "b")], *[of(x, F.lit(1)).alias(f"n{x}") for x in ("a", "b")])
+    entropy = lambda x: F.log("n") - F.col(f"e{x}") / F.col("n")
+    both = entropy("a") + entropy("b")
+    return sums.select(*by, F.when((F.col("na") > 1) | (F.col("nb") > 1), F.greatest(2 * (both - entropy("ab")) / both, F.lit(0.0))).otherwise(1.0).alias("nmi"))
+
+
 def nmi(table: DataFrame) -> DataFrame:
     """nmi of a contingency table (a, b, k), normalised by the mean of both entropies; 1 if both are a single group."""
-    every, of_a, of_b = Window.partitionBy(F.lit(1)), Window.partitionBy("a"), Window.partitionBy("b")
-    t = table.select((F.col("k") / F.sum("k").over(every)).alias("p"), (F.sum("k").over(of_a) / F.sum("k").over(every)).alias("pa"), (F.sum("k").over(of_b) / F.sum("k").over(every)).alias("pb"))
-    sums = t.agg(F.sum(F.col("p") * F.log(F.col("p") / (F.col("pa") * F.col("pb")))).alias("mi"), (-F.sum(F.col("p") * F.log("pa"))).alias("ha"), (-F.sum(F.col("p") * F.log("pb"))).alias("hb"))
-    return sums.select(F.when(F.col("ha") + F.col("hb") > 0, 2 * F.col("mi") / (F.col("ha") + F.col("hb"))).otherwise(1.0).alias("nmi"))
+    return _nmi(table)
 
 
 def pairwise_nmi(runs: DataFrame) -> DataFrame:
     """r1, r2, nmi of every two runs (run, node, label)."""
     two = runs.select(F.col("run").alias("r2"), "node", F.col("label").alias("b"))
-    met = runs.select(F.col("run").alias("r1"), "node", F.col("label").alias("a")).join(two, "node").where("r1 < r2").groupBy("r1", "r2", "a", "b").agg(F.count("*").alias("k"))
-    pair = Window.partitionBy("r1", "r2")
-    share = lambda *by: F.sum("k").over(Window.partitionBy("r1", "r2", *by)) / F.sum("k").over(pair)
-    t = met.select("r1", "r2", (F.col("k") / F.sum("k").over(pair)).alias("p"), share("a").alias("pa"), share("b").alias("pb"))
-    sums = t.groupBy("r1", "r2").agg(F.sum(F.col("p") * F.log(F.col("p") / (F.col("pa") * F.col("pb")))).alias("mi"), (-F.sum(F.col("p") * F.log("pa"))).alias("ha"), (-F.sum(F.col("p") * F.log("pb"))).alias("hb"))
-    return sums.select("r1", "r2", F.when(F.col("ha") + F.col("hb") > 0, 2 * F.col("mi") / (F.col("ha") + F.col("hb"))).otherwise(1.0).alias("nmi"))
+    met = runs.select(F.col("run").alias("r1"), "node", F.col("label").alias("a")).join(two, "node").where("r1 < r2")
+    return _nmi(met.groupBy("r1", "r2", "a", "b").agg(F.count("*").alias("k")), "r1", "r2")
 
 
 def ari(table: DataFrame) -> DataFrame:
-    """Adjusted Rand index of a contingency table (a, b, k)."""
-    pairs = lambda k: k * (k - 1) / 2
-    a = table.groupBy("a").agg(F.sum("k").alias("k")).agg(F.sum(pairs(F.col("k"))).alias("sa"))
-    b = table.groupBy("b").agg(F.sum("k").alias("k")).agg(F.sum(pairs(F.col("k"))).alias("sb"))
-    both = table.agg(F.sum(pairs(F.col("k"))).alias("s"), F.sum("k").alias("n")).withColumn("one", F.lit(1))
-    row = both.join(a.withColumn("one", F.lit(1)), "one").join(b.withColumn("one", F.lit(1)), "one")
-    expected = F.col("sa") * F.col("sb") / pairs(F.col("n"))
+    """Adjusted Rand index of a contingency table (a, b, k); 1 where chance decides nothing."""
+    pairs = F.col("k") * (F.col("k") - 1) / 2
+    of = lambda side, value: F.sum(F.when(F.col("side") == side, value))
+    row = _groups(table).agg(of("ab", F.col("k")).alias("n"), of("ab", pairs).alias("s"), of("a", pairs).alias("sa"), of("b", pairs).alias("sb"))
+    expected = F.col("sa") * F.col("sb") / F.nullif(F.col("n") * (F.col("n") - 1) / 2, F.lit(0.0))
     top = (F.col("sa") + F.col("sb")) / 2 - expected
     return row.select(F.when(top != 0, (F.col("s") - expected) / top).otherwise(1.0).alias("ari"))
 
@@ -80,7 +95,7 @@ def auc(scores: DataFrame) -> DataFrame:
     Ranks come from counts by score and a running sum over score ranges, so no task holds all rows.
     """
     by = scores.groupBy("score").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
-    ranged = by.repartitionByRange("score").withColumn("part", F.spark_partition_id())
+    ranged = settled(by.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "scores")
     parts = ranged.groupBy("part").agg(F.sum("neg").alias("neg"))
     below = parts.select("part", F.coalesce(F.sum("neg").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("base"))  # a row for each partition
     inside = F.coalesce(F.sum("neg").over(Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -89,18 +104,22 @@ def auc(scores: DataFrame) -> DataFrame:
     return sums.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("won") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
-def gathered(runs: DataFrame, metrics: list[str]) -> DataFrame:
+def gathered(runs: DataFrame, metrics: list[str], *by: str) -> DataFrame:
     """mean and population deviation of each metric over runs, without NaN."""
     clean = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
-    return runs.agg(*[f for c in metrics for f in (F.avg(clean(c)).alias(f"{c}_mean"), F.stddev_pop(clean(c)).alias(f"{c}_std"))])
+    return runs.groupBy(*by).agg(*[f for c in metrics for f in (F.avg(clean(c)).alias(f"{c}_mean"), F.stddev_pop(clean(c)).alias(f"{c}_std"))])
+
+
+def communities(labels: DataFrame) -> DataFrame:
+    """label, size of every community that has a node."""
+    return labels.groupBy("label").agg(F.count("*").alias("size"))
 
 
 def sizes(labels: DataFrame, k: int) -> DataFrame:
     """label, size of 0 to k - 1, absent labels with 0."""
-    return labels.sparkSession.range(k).select(F.col("id").cast("int").alias("label")).join(labels.groupBy("label").agg(F.count("*").alias("size")), "label", "left").fillna(0, ["size"])
+    return labels.sparkSession.range(k).select(F.col("id").cast("int").alias("label")).join(communities(labels), "label", "left").fillna(0, ["size"])
 
 
 def relabelled(labels: DataFrame) -> DataFrame:
-    """Labels renumbered from 0 in their order; ranks are made on the distinct labels."""
-    rank = F.dense_rank().over(Window.orderBy("label")) - 1
-    return labels.join(labels.select("label").distinct().withColumn("new", rank), "label").select("node", F.col("new").alias("label"))
+    """Labels renumbered from 0 in their order; the distinct labels are put in order by ranges."""
+    return labels.join(places(labels.select("label").distinct(), F.col("label"), "label", "new"), "label").select("node", F.col("new").alias("label"))

@@ -175,7 +175,7 @@ def ag2_sum_dups(spark, d):
 @query("SELECT layer, u, v, w FROM mx WHERE u IN (SELECT node FROM (SELECT node FROM nodes ORDER BY md5('0:' || node), node LIMIT 500)) AND v IN (SELECT node FROM (SELECT node FROM nodes ORDER BY md5('0:' || node), node LIMIT 500))")
 def j2_restrict_nodes(spark, d):
     few = graph.sampled_nodes(nodes_of(spark, d), 500)
-    return mx(spark, d).join(few.withColumnRenamed("node", "u"), "u", "left_semi").join(few.withColumnRenamed("node", "v"), "v", "left_semi")
+    return graph.restricted(mx(spark, d), few)
 
 
 @query("SELECT layer, a.idx AS u, b.idx AS v, w FROM mx JOIN (SELECT node, row_number() OVER (ORDER BY node::VARCHAR) - 1 AS idx FROM nodes) a ON u = a.node JOIN (SELECT node, row_number() OVER (ORDER BY node::VARCHAR) - 1 AS idx FROM nodes) b ON v = b.node")
@@ -259,7 +259,7 @@ def ag8_diag_htah(spark, d):
 
 @query("SELECT layer, " + ", ".join(f"round(sum(w * w), 6) AS norm" for _ in range(1)) + " FROM bo GROUP BY 1")
 def ag17_norms(spark, d):
-    return both(spark, d).groupBy("layer").agg(r6(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return factor.squared_norms(both(spark, d)).withColumn("norm", r6("norm"))
 
 
 def _state(spark, d):
@@ -328,7 +328,7 @@ def ml5d_damped(spark, d):
 FROM d JOIN dg USING (layer) JOIN (SELECT layer, sum(w * w) AS n2 FROM bo GROUP BY 1) USING (layer), g""")
 def ml6_objective(spark, d):
     _, _, g, b, dd = _state(spark, d)
-    norms = {r["layer"]: r["s"] for r in both(spark, d).groupBy("layer").agg(F.sum(F.col("w") * F.col("w")).alias("s")).collect()}
+    norms = {r["layer"]: r["norm"] for r in factor.squared_norms(both(spark, d)).collect()}  # a row for each layer
     value = factor.objective(norms, g, b, dd, {x: 0.2 for x in dd})
     return spark.createDataFrame([(value,)], "objective double").select(r6("objective", 3).alias("objective"))
 
@@ -389,12 +389,12 @@ def ag15_sizes(spark, d):
 
 @query("SELECT label, count(*) AS size FROM lab GROUP BY 1")
 def ag16_communities(spark, d):
-    return labels_of(spark, d).groupBy("label").agg(F.count("*").alias("size"))
+    return metrics.communities(labels_of(spark, d))
 
 
 @query("SELECT label, count(*) AS size FROM (SELECT node, label FROM runs WHERE run = 0) GROUP BY 1 HAVING count(*) <= 50")
 def pf9_small_communities(spark, d):
-    return runs_of(spark, d).where("run = 0").groupBy("label").agg(F.count("*").alias("size")).where("size <= 50")
+    return cluster.small_communities(runs_of(spark, d).where("run = 0"), 50)
 
 
 # Metrics
@@ -449,9 +449,8 @@ def ag13_auc(spark, d):
 @query("""SELECT o_orderpriority AS config, round(avg(x), 5) AS x_mean, round(stddev_pop(x), 5) AS x_std FROM (SELECT o_orderpriority, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_totalprice / 1000 END AS x FROM orders) GROUP BY 1""")
 def ag14_gather(spark, d):
     x = F.when(F.col("o_orderkey") % 10 == 0, float("nan")).otherwise(F.col("o_totalprice") / 1000)
-    clean = F.nanvl("x", F.lit(None).cast("double"))
     rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("config"), x.alias("x"))
-    return rows.groupBy("config").agg(r6(F.avg(clean), 5).alias("x_mean"), r6(F.stddev_pop(clean), 5).alias("x_std"))
+    return metrics.gathered(rows, ["x"], "config").select("config", r6("x_mean", 5).alias("x_mean"), r6("x_std", 5).alias("x_std"))
 
 
 # Consensus
@@ -514,7 +513,7 @@ def _candidates(spark, d):
 
 @query(f"SELECT u, v FROM {_CAND} ANTI JOIN mx USING (u, v)")
 def j5_negative_pairs(spark, d):
-    return _candidates(spark, d).join(mx(spark, d).select("u", "v"), ["u", "v"], "left_anti")
+    return graph.free_pairs(_candidates(spark, d), mx(spark, d))
 
 
 @query("SELECT c.u, c.v, round(list_sum(list_transform(range(1, 5), lambda r: a.h[r] * b.h[r])), 6) AS score FROM " + _CAND + " c JOIN h a ON u = a.node JOIN h b ON v = b.node")
@@ -544,11 +543,8 @@ def st7_best_of(spark, d):
 
 @query("""SELECT run, iter, obj, round(abs(prev - obj) / (abs(prev) + 1e-12::DOUBLE), 8) AS rel FROM (SELECT *, lag(obj) OVER (PARTITION BY run ORDER BY iter) AS prev FROM (SELECT l_suppkey AS run, l_linenumber AS iter, sum(l_quantity)::DOUBLE AS obj FROM lineitem GROUP BY 1, 2))""")
 def w5_convergence_lag(spark, d):
-    from pyspark.sql import Window
-
     rows = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("run"), F.col("l_linenumber").alias("iter")).agg(F.sum("l_quantity").cast("double").alias("obj"))
-    prev = F.lag("obj").over(Window.partitionBy("run").orderBy("iter"))
-    return rows.withColumn("prev", prev).select("run", "iter", "obj", r6(F.abs(F.col("prev") - F.col("obj")) / (F.abs("prev") + 1e-12), 8).alias("rel"))
+    return factor.convergence(rows).withColumn("rel", r6("rel", 8))
 
 
 # Iterative operators: the driver checks rows only; tests/ holds them against planted graphs and dense evaluations
