@@ -1,14 +1,16 @@
 """Secret scan: patterns, and Markov models of characters for what no pattern names.
 
 Two first-order character models, one of random strings and one of ordinary identifiers,
-are trained from labelled samples with add-half smoothing.  Every run of 20 or more
-characters of ``[A-Za-z0-9+/_=-]`` that no pattern has found is scored by the log-likelihood
-ratio per character; above `threshold` it is a span of kind ``random``.  Base spans of the
-patterns always stay.
+are trained from labelled samples with add-half smoothing.  The random samples are drawn; the
+ordinary ones are joined of words that a chain draws, whose letters are counted in the words of
+all documents, so every language and source of the corpus has its share.  Every run of 20 or
+more characters of ``[A-Za-z0-9+/_=-]``, less what the patterns have found of it, is scored by
+the log-likelihood ratio per character; above `threshold` it is a span of kind ``random``.
+Base spans of the patterns always stay.
 
 Defined cases: null and empty texts have no spans; offsets are code points; texts of any
 length are scanned whole; repeated rows are scanned each; an empty table gives an empty
-result (and models of the samples that need no documents); further columns are ignored,
+result (and models of the samples that need no documents: ten fixed words); further columns are ignored,
 whatever their names.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexor.llm.store import scan as batched
-from plexor.llm.words import Slab, slabs
+from plexor.llm.words import Slab, mix, slabs
 
 # The base patterns and the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -39,16 +41,23 @@ _INDEX = {c: i for i, c in enumerate(ALPHABET)}
 
 
 class CharModel:
-    """log P of a string, first character then each one given the one before."""
+    """log P of a string, first character then each one given the one before.
 
-    def __init__(self, samples: Iterable[str]):
+    more: (first, pairs) counted elsewhere; they weigh as much as the samples together.
+    """
+
+    def __init__(self, samples: Iterable[str], more: tuple[np.ndarray, np.ndarray] | None = None):
         n = len(ALPHABET)
-        first, pairs = np.full(n, 0.5), np.full((n, n), 0.5)
+        first, pairs = np.zeros(n), np.zeros((n, n))
         for s in samples:
             at = [_INDEX[c] for c in s if c in _INDEX]
             if at:
                 first[at[0]] += 1
                 np.add.at(pairs, (at[:-1], at[1:]), 1)
+        if more is not None and more[1].sum() > 0:
+            first += more[0] * (first.sum() / max(more[0].sum(), 1))
+            pairs += more[1] * (pairs.sum() / more[1].sum())
+        first, pairs = first + 0.5, pairs + 0.5
         self.first, self.pairs = np.log(first / first.sum()), np.log(pairs / pairs.sum(axis=1, keepdims=True))
 
     def __call__(self, s: str) -> float:
@@ -73,14 +82,75 @@ def identifiers(words: list[str], n: int, seed: int = 7) -> list[str]:
     return out
 
 
-def train(docs: DataFrame, sample_docs: int = 400, samples: int = 20_000) -> tuple[CharModel, CharModel]:
-    """(random, ordinary) models; the words of ordinary identifiers are those of at most sample_docs documents, picked by a hash of the id."""
-    ids = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    picked = docs.join(F.broadcast(ids), "doc_id").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"))  # at most sample_docs rows
-    found: set[str] = {"user", "name", "value", "index", "config", "version", "document", "request", "handler", "default"}
-    for r in picked.collect():
-        found.update(w for w in re.findall(r"(?<![A-Za-z0-9])[A-Za-z]{2,}(?![A-Za-z0-9])", r["text"]) if len(w) <= 24)
-    return CharModel(random_strings(samples)), CharModel(identifiers(sorted(found), samples))
+#: Words whose letters count: runs of letters alone, of 2 to LONGEST, with no letter, digit or other byte of a word's beside them.
+LONGEST = 24
+_LETTER = np.full(256, -1)
+_LETTER[[ord(c) for c in ALPHABET[:52]]] = np.arange(52)
+_WORD = np.zeros(256, bool)
+_WORD[[ord(c) for c in ALPHABET[:62]]] = True
+_WORD[128:] = True
+_CELLS = LONGEST + 1 + 52 + 52 * 52
+
+
+def _letters(slab: Slab) -> np.ndarray:
+    """Counts of words by length, of first letters, and of letters after letters; a document's word counts once, however often it comes."""
+    word, letter = _WORD[slab.data], _LETTER[slab.data]
+    breaks = np.unique(np.concatenate([np.flatnonzero(~word), np.flatnonzero(~word) + 1, slab.offsets]))
+    starts, sizes = breaks[:-1], np.diff(breaks)
+    other = np.zeros(len(word) + 1, np.int64)
+    np.cumsum(letter < 0, out=other[1:])
+    kept = (sizes >= 2) & (sizes <= LONGEST) & (other[starts + sizes] == other[starts])
+    starts, sizes = starts[kept], sizes[kept]
+    slab.prepare(lower=False)
+    owner = np.searchsorted(slab.offsets, starts, "right").astype(np.uint64)
+    once = np.unique(mix(slab.hashes(starts, starts + sizes) + mix(owner)), return_index=True)[1]
+    starts, sizes = starts[once], sizes[once]
+    at = np.repeat(starts, sizes - 1) + np.arange((sizes - 1).sum()) - np.repeat(np.cumsum(sizes - 1) - (sizes - 1), sizes - 1)
+    return np.concatenate([np.bincount(sizes, minlength=LONGEST + 1), np.bincount(letter[starts], minlength=52), np.bincount(letter[at] * 52 + letter[at + 1], minlength=52 * 52)])
+
+
+def letter_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words by length, first letters, letters after letters) of the words of all documents; _CELLS numbers reach the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(_CELLS, np.int64)
+        for batch in batches:
+            for slab in slabs(batch.column(0)):
+                sums += _letters(slab)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["cell", "n"])
+
+    out = np.zeros(_CELLS, np.int64)
+    for r in batched(docs.select("text"), count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out[: LONGEST + 1], out[LONGEST + 1 : LONGEST + 53], out[LONGEST + 53 :].reshape(52, 52)
+
+
+def drawn_words(counts: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, seed: int = 7) -> list[str]:
+    """Words of a chain with these counts; none where nothing was counted."""
+    sizes, first, pairs = counts
+    if not sizes.sum():
+        return []
+    rng = np.random.default_rng(seed)
+    lengths = rng.choice(len(sizes), n, p=sizes / sizes.sum())
+    at = rng.choice(52, n, p=first / first.sum())
+    chains = [at]
+    steps = np.cumsum(pairs + 1e-9, axis=1)
+    steps /= steps[:, -1:]
+    for _ in range(lengths.max() - 1):
+        at = np.minimum((rng.random(n)[:, None] > steps[at]).sum(axis=1), 51)
+        chains.append(at)
+    return ["".join(ALPHABET[chains[j][i]] for j in range(lengths[i])) for i in range(n)]
+
+
+def train(docs: DataFrame, samples: int = 20_000) -> tuple[CharModel, CharModel]:
+    """(random, ordinary) models; letters are counted in all documents, samples is the number of strings drawn for each class."""
+    counts = letter_counts(docs)
+    words = ["user", "name", "value", "index", "config", "version", "document", "request", "handler", "default", *drawn_words(counts, 2000)]
+    n = len(ALPHABET)
+    first, pairs = np.zeros(n), np.zeros((n, n))
+    first[:52], pairs[:52, :52] = counts[1], counts[2]
+    return CharModel(random_strings(samples)), CharModel(identifiers(words, samples), (first, pairs))
 
 
 def base_spans(text: str, low: bytes | None = None) -> list[tuple[int, int, int]]:
@@ -95,13 +165,15 @@ def base_spans(text: str, low: bytes | None = None) -> list[tuple[int, int, int]
 
 
 def more_spans(text: str, base: list[tuple[int, int, int]], models: tuple[CharModel, CharModel], threshold: float) -> list[tuple[int, int, int]]:
+    """Candidates, or what base spans leave of them, that look random."""
     out = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if any(a < e and s < b for a, _, b in base) or m[0].isdigit():
-            continue
-        if models[0](m[0]) - models[1](m[0]) > threshold * (e - s):
-            out.append((s, 3, e))
+        for a, _, b in [x for x in base if x[0] < e and s < x[2]] + [(e, 0, e)]:
+            piece = text[s:a]
+            if len(piece) >= 20 and not piece.isdigit() and models[0](piece) - models[1](piece) > threshold * len(piece):
+                out.append((s, 3, a))
+            s = max(s, b)
     return out
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -31,6 +32,39 @@ def test_spans(spark):
     assert secrets.digest(secrets.secret_scan(docs.where("doc_id = 99"), models)).count() == 0
 
 
+def test_against_a_plain_scan_of_every_text(spark):
+    """Base spans, counts and what the models add, by a slow scan of generated texts with repeated rows."""
+    rng = random.Random(5)
+    bits = ["password", ":", "=", " ", '"', "hunter22", "AKIA" + "ABCDEFGH12345678", "a1" * 13, "é", KEY, "\n", "TOKEN", "plain_words_joined_together", ".", "0123456789" * 3]
+    rows = [(i, "".join(rng.choices(bits, k=rng.randint(0, 30)))) for i in range(300)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    models = secrets.train(docs)
+    want = {}
+    for i, text in rows:
+        base = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+        base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        taken = {x for s, _, e in base for x in range(s, e)}
+        free = "".join("\n" if x in taken else c for x, c in enumerate(text))
+        more = [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", free) if not m[0].isdigit() and (models[0](m[0]) - models[1](m[0])) / len(m[0]) > 0.5]
+        shown = lambda spans: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        want[i] = (*[sum(k == x for _, k, _ in base) for x in range(3)], hashlib.sha256(shown(base).encode()).hexdigest(), shown(base + more))
+    got = secrets.digest(secrets.secret_scan(docs, models)).collect()
+    assert len(got) == 305 and all((r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == want[r.doc_id] for r in got)
+    assert any("random" in w[4] and w[0] for w in want.values())
+
+
+def test_letters_are_counted_in_all_documents(spark):
+    docs = spark.createDataFrame([(1, "ab ab cab x1y é" + "q" * 30), (2, None), (3, ""), (3, "ab"), (4, "naïve zz")], "doc_id long, text string")
+    sizes, first, pairs = secrets.letter_counts(docs)
+    at = secrets.ALPHABET.index
+    assert (sizes[2], sizes[3], sizes.sum()) == (3, 1, 4) and first[at("a")] == 2 and first[at("z")] == 1
+    assert pairs[at("a"), at("b")] == 3 and pairs[at("c"), at("a")] == 1 and pairs.sum() == 5
+    words = secrets.drawn_words((sizes, first, pairs), 50)
+    assert len(words) == 50 and set("".join(words)) <= set(secrets.ALPHABET[:52])
+    assert secrets.drawn_words(secrets.letter_counts(docs.where("doc_id = 2")), 5) == []
+
+
 def test_models_tell_held_out_strings_apart():
     words = ["config", "handler", "token", "stream", "buffer", "request", "value", "index", "thread", "policy"]
     models = secrets.CharModel(secrets.random_strings(5000, 1)), secrets.CharModel(secrets.identifiers(words, 5000, 1))
