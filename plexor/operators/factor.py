@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexor.functions.arrays import dot, finite, l1_rows, literal, soft_threshold, total
+from plexor.functions.arrays import dot, l1_rows, literal, soft_threshold, total
 from plexor.sources.tables import settled
 
 EPS = 1e-12
@@ -220,11 +220,11 @@ def train(both: DataFrame, start: DataFrame, k: int, rule: Rule = MAIN, weights:
             num = weighted_product(spmm(both, new, k), d, w, k)
             bh = modularity_product(aggregate, new, k) if aggregate is not None else None
             new = settled(gradient_step(new, num, inner_matrix(gram(new, k), d, w), rule.alpha, rule.gamma, bh, rule.eta, seeds, rule.rows), "h")
-        bad = new.where(~finite(F.col("h"))).limit(1)
-        if not bad.isEmpty():
+        after = gram(new, k)
+        if not np.isfinite(after).all():  # a number of H that isn't finite leaves none in its place of the Gram matrix
             history.append(float("nan"))
             break
-        h, g = new, gram(new, k)
+        h, g = new, after
         products = settled(spmm(both, h, k), "products")
         b = diag(products, h)
         value = objective(norms, g, b, d, w)
