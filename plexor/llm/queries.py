@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plexor.llm import licenses, quality_fm, secrets
 from plexor.llm.exact_dedup import exact_dedup
+from plexor.llm.fill_middle import fill_in_middle
 from plexor.llm.mixing import mix
 from plexor.llm.ngram_join import near_duplicates
 from plexor.llm.packing import pack_documents
@@ -74,7 +75,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, _documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_sharding, op2_ngram_jaccard_join, op3_secret_scan, op4_quality_fm, op5_quality_rules, op6_license_scan, op7_token_counts, op8_exact_dedup, op9_source_mixing, op10_best_fit_packing)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(_documents(spark, sf_dir), outputs=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_vector_sharding, op2_ngram_jaccard_join, op3_secret_scan, op4_quality_fm, op5_quality_rules, op6_license_scan, op7_token_counts, op8_exact_dedup, op9_source_mixing, op10_best_fit_packing, op11_fill_in_middle)}
 
 SQL = {
     "op2_ngram_jaccard_join": r"""
@@ -94,4 +99,13 @@ SQL = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM k WINDOW w AS (PARTITION BY text_sha256)""",
+    "op11_fill_in_middle": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+        h AS (SELECT *, len(l)::BIGINT AS n, ('0x' || k[1:8])::BIGINT AS h1, ('0x' || k[9:16])::BIGINT AS h2, ('0x' || k[17:24])::BIGINT AS h3, ('0x' || k[25:32])::BIGINT AS h4 FROM t),
+        f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+              CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        c AS (SELECT *, array_to_string(l[1:lo], '') AS p, array_to_string(l[lo + 1:hi], '') AS m, array_to_string(l[hi + 1:], '') AS s FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(x) AS restored_sha256
+        FROM c""",
 }
