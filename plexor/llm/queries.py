@@ -11,6 +11,7 @@ from plexor.llm.fill_middle import fill_in_middle
 from plexor.llm.mixing import mix
 from plexor.llm.ngram_join import near_duplicates
 from plexor.llm.packing import pack_documents
+from plexor.llm.prefix_trie import prefix_trie
 from plexor.llm.quality_rules import quality_rules
 from plexor.llm.sharding import shard
 from plexor.llm.token_counts import count_tokens
@@ -79,7 +80,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(_documents(spark, sf_dir), outputs=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_sharding, op2_ngram_jaccard_join, op3_secret_scan, op4_quality_fm, op5_quality_rules, op6_license_scan, op7_token_counts, op8_exact_dedup, op9_source_mixing, op10_best_fit_packing, op11_fill_in_middle)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_vector_sharding, op2_ngram_jaccard_join, op3_secret_scan, op4_quality_fm, op5_quality_rules, op6_license_scan, op7_token_counts, op8_exact_dedup, op9_source_mixing, op10_best_fit_packing, op11_fill_in_middle, op13_prefix_trie)}
 
 SQL = {
     "op2_ngram_jaccard_join": r"""
@@ -108,4 +113,20 @@ SQL = {
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
                sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(x) AS restored_sha256
         FROM c""",
+    "op13_prefix_trie": r"""
+        WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+        h AS (SELECT c, crc % 6 AS h, c - c % 100 AS b FROM (SELECT c, xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                  lambda s, b: list_reduce(range(8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(s, b)), 4294967295), 4294967295) AS crc FROM (SELECT DISTINCT c FROM o))),
+        r AS (SELECT h.c, o.i, o.role, o.text FROM h JOIN o ON o.c = h.b AND o.i <= h.h UNION ALL SELECT o.c, 1000000 + o.i, o.role, o.text FROM o JOIN h USING (c) WHERE o.i > h.h),
+        t AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, role, text FROM r),
+        p AS (SELECT c, d, text, list({'r': role, 't': text}) OVER (PARTITION BY c ORDER BY d) AS k, d = count(*) OVER (PARTITION BY c) AS ended FROM t
+              UNION ALL SELECT c, 0, '', [], NOT EXISTS (SELECT 1 FROM t WHERE t.c = h.c) FROM h),
+        n AS (SELECT *, min(c) OVER (PARTITION BY d, k) AS m FROM p),
+        a AS (SELECT n.d, n.m, count(*) AS n_convs, any_value(q.m) AS parent, any_value(length(n.text)) AS chars,
+                     string_agg(CASE WHEN n.ended THEN n.c::VARCHAR END, ',' ORDER BY n.c) AS ends FROM n LEFT JOIN n q ON q.c = n.c AND q.d = n.d - 1 GROUP BY 1, 2),
+        k AS (SELECT a.*, (SELECT count(*) FROM a x WHERE x.d = a.d + 1 AND x.parent = a.m) AS n_children FROM a),
+        u AS (SELECT n.d, n.m, count(*) FILTER (k.n_children = 0) AS n_leaves, sum((k.n_convs - 1) * k.chars)::BIGINT AS saved_tokens FROM k JOIN n ON n.c = k.m AND n.d <= k.d GROUP BY 1, 2)
+        SELECT k.m AS conv_id, k.d AS depth, k.parent AS parent_conv_id, k.n_convs, k.n_children, u.n_leaves, u.saved_tokens, sha256(coalesce(k.ends, '')) AS ends_sha256
+        FROM k JOIN u ON u.d = k.d AND u.m = k.m""",
 }
