@@ -29,10 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plexor.llm.store import Store
+from plexor.llm.store import Store, spread_join
 
-#: A key that more than this share of all rows has is joined by broadcast; there are no more such keys than this.
-HOT = 4096
 NODE = ["d1", "d2", "depth"]
 
 
@@ -74,16 +72,6 @@ def prefixes(store: Store, turns: DataFrame) -> DataFrame:
     return full.select("conv", F.col("place").cast("long").alias("depth"), "d1", "d2", F.col("d1").bitwiseXOR(F.col("t1")).alias("p1"), F.col("d2").bitwiseXOR(F.col("t2")).alias("p2"), "chars", (F.col("place") == F.col("top")).alias("last"))
 
 
-def spread_join(store: Store, rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
-    """rows joined with other (one row a key); keys of more than 1/HOT of the rows, which are counted, come to the rows."""
-    counts = rows.groupBy(*on).agg(F.count("*").alias("k"))
-    total = rows.count()
-    hot = store.put(counts.where(F.col("k") * HOT > total).select(*on), "hot")  # fewer than HOT keys
-    near = rows.join(F.broadcast(other.join(F.broadcast(hot), on)), on)
-    far = rows.join(F.broadcast(hot), on, "left_anti").join(other, on)
-    return near.unionByName(far)
-
-
 def rolled_up(store: Store, nodes: DataFrame, sums: list[str]) -> DataFrame:
     """nodes (NODE, p1, p2, and sums) with each of sums added up over the node and all its descendants.
 

@@ -14,6 +14,7 @@ from plexor.llm.packing import pack_documents
 from plexor.llm.prefix_trie import prefix_trie
 from plexor.llm.quality_rules import quality_rules
 from plexor.llm.sharding import shard
+from plexor.llm.suffix_dedup import suffix_dedup
 from plexor.llm.token_counts import count_tokens
 
 
@@ -80,11 +81,15 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(_documents(spark, sf_dir), outputs=False)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(spark, _documents(spark, sf_dir))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_sharding, op2_ngram_jaccard_join, op3_secret_scan, op4_quality_fm, op5_quality_rules, op6_license_scan, op7_token_counts, op8_exact_dedup, op9_source_mixing, op10_best_fit_packing, op11_fill_in_middle, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_vector_sharding, op2_ngram_jaccard_join, op3_secret_scan, op4_quality_fm, op5_quality_rules, op6_license_scan, op7_token_counts, op8_exact_dedup, op9_source_mixing, op10_best_fit_packing, op11_fill_in_middle, op12_suffix_dedup, op13_prefix_trie)}
 
 SQL = {
     "op2_ngram_jaccard_join": r"""
@@ -113,6 +118,16 @@ SQL = {
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
                sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(x) AS restored_sha256
         FROM c""",
+    "op12_suffix_dedup": r"""
+        WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+        s AS (SELECT doc_id, n, i, substr(x, 2 * i + 1, 100) AS w FROM (SELECT *, unnest(range(n - 49)) AS i FROM t WHERE n >= 50)),
+        m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) < doc_id AS gone FROM s),
+        g AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS fresh FROM m WHERE gone),
+        r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k),
+        c AS (SELECT r.doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS before FROM r),
+        k AS (SELECT c.doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS tail, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM c JOIN t USING (doc_id) GROUP BY 1)
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN n_removed IS NULL THEN x ELSE head || substr(x, 2 * tail + 1) END)) AS kept_sha256
+        FROM t LEFT JOIN k USING (doc_id)""",
     "op13_prefix_trie": r"""
         WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),

@@ -97,6 +97,20 @@ def with_ids(df: DataFrame, ids: DataFrame, on: list[str], how: str = "left_semi
     return df.join(F.broadcast(ids) if small else ids, on, how)
 
 
+#: A key that more than this share of all rows has is joined by broadcast; there are fewer such keys than this.
+HOT = 4096
+
+
+def spread_join(store: Store, rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with other (one row a key); keys of more than 1/HOT of the rows, which are counted, come to the rows."""
+    counts = rows.groupBy(*on).agg(F.count("*").alias("k"))
+    total = rows.count()
+    hot = store.put(counts.where(F.col("k") * HOT > total).select(*on), "hot")  # fewer than HOT keys
+    near = rows.join(F.broadcast(other.join(F.broadcast(hot), on)), on)
+    far = rows.join(F.broadcast(hot), on, "left_anti").join(other, on)
+    return near.unionByName(far)
+
+
 #: Bytes of an Arrow batch of texts, so that a task's memory doesn't grow with its rows' lengths; a longer text is a batch of its own.
 BATCH = 2 << 20
 _BATCH_BYTES, _UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"

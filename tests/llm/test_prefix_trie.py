@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-import plexor.llm.prefix_trie as module
+import plexor.llm.store as module
 from plexor.llm.prefix_trie import NODE, prefix_trie, rolled_up
 from plexor.llm.store import Store
 
