@@ -1,8 +1,8 @@
 """The trie of conversation prefixes, rolled up by pointer jumping.
 
 1. Turns are put in order by ranges (conversation, turn, role, text), so that no conversation needs
-   one task.  A turn's prefix gets a 128-bit digest: the exclusive or of the hashes of (place, role,
-   text) up to it, a running sum in each range, to which the earlier ranges' sums of the same
+   one task.  A turn's prefix gets a 128-bit digest: the exclusive or of the hashes of (place, role
+   and text) up to it, a running sum in each range, to which the earlier ranges' sums of the same
    conversation are added (a row for each range).  The digest of the prefix before, its parent, is
    that without the turn's own hash, so an edge needs no look back.
 2. A node is a digest; members are counted map-side first, so a first turn that a third of all
@@ -32,33 +32,36 @@ from pyspark.sql import functions as F
 from plexor.llm.store import Store, spread_join
 
 NODE = ["d1", "d2", "depth"]
+TURN = ["c1", "c2", "chars"]
 
 
 def ordered_turns(store: Store, turns: DataFrame) -> DataFrame:
-    """conv, place (from 1), role, text of every turn (conv, turn, role, text); places are found by ranges."""
+    """conv, place (from 1), c1, c2 (hashes of role and text), chars of every turn (conv, turn, role, text); places are found by ranges, and texts go no further."""
     order = ["conv", "turn", "role", "text"]
-    ranged = store.put(turns.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ranged")
-    own = Window.partitionBy("part", "conv").orderBy("turn", "role", "text")
+    ranged = turns.repartitionByRange(*order).sortWithinPartitions(*order)
+    hashed = [F.xxhash64("role", "text").alias("c1"), F.xxhash64(F.lit(0x5BD1E995), "text", "role").alias("c2"), F.length("text").cast("long").alias("chars")]
+    ranged = store.put(ranged.select("conv", *hashed, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "ranged")
+    own = Window.partitionBy("part", "conv").orderBy("row")
     before = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     base = ranged.groupBy("part", "conv").agg(F.count("*").alias("k")).select("part", "conv", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))
-    return ranged.withColumn("at", F.row_number().over(own)).join(base, ["part", "conv"]).select("conv", (F.col("base") + F.col("at")).alias("place"), "role", "text")
+    return ranged.withColumn("at", F.row_number().over(own)).join(base, ["part", "conv"]).select("conv", (F.col("base") + F.col("at")).alias("place"), *TURN)
 
 
 def rebuilt(placed: DataFrame, block: int = 100, most: int = 6) -> tuple[DataFrame, DataFrame]:
-    """(convs: conv, h; turns: conv, place, role, text): the first h = crc32(conv) % most turns come from conversation conv - conv % block."""
+    """(convs: conv, h; turns: conv, place and TURN): the first h = crc32(conv) % most turns come from conversation conv - conv % block."""
     convs = placed.select("conv").distinct().withColumn("h", F.crc32(F.col("conv").cast("string")) % most)
     needs = convs.where("h > 0").withColumn("base", F.col("conv") - F.col("conv") % block)
-    heads = placed.where(F.col("place") < most).select(F.col("conv").alias("base"), "place", "role", "text")  # fewer than `most` turns a conversation, which fewer than 2 * block convs ask for
-    first = needs.join(heads, "base").where("place <= h").select("conv", "place", "role", "text")
+    heads = placed.where(F.col("place") < most).select(F.col("conv").alias("base"), "place", *TURN)  # fewer than `most` turns a conversation, which fewer than 2 * block convs ask for
+    first = needs.join(heads, "base").where("place <= h").select("conv", "place", *TURN)
     count = heads.groupBy("base").agg(F.max("place").alias("have"))
     shift = needs.join(count, "base", "left").select("conv", (F.coalesce(F.least("h", "have"), F.lit(0)) - F.col("h")).alias("shift"))
     own = placed.join(convs, "conv").where("place > h").drop("h").join(shift, "conv", "left")
-    return convs, first.unionByName(own.select("conv", (F.col("place") + F.coalesce("shift", F.lit(0))).alias("place"), "role", "text"))
+    return convs, first.unionByName(own.select("conv", (F.col("place") + F.coalesce("shift", F.lit(0))).alias("place"), *TURN))
 
 
 def prefixes(store: Store, turns: DataFrame) -> DataFrame:
-    """conv, depth, d1, d2, p1, p2 (the parent's digest), chars, last of every turn (conv, place, role, text)."""
-    hashed = turns.select("conv", "place", F.length("text").cast("long").alias("chars"), F.xxhash64("place", "role", "text").alias("t1"), F.xxhash64(F.lit(0x5BD1E995), "text", "role", "place").alias("t2"))
+    """conv, depth, d1, d2, p1, p2 (the parent's digest), chars, last of every turn (conv, place and TURN)."""
+    hashed = turns.select("conv", "place", "chars", F.xxhash64("place", "c1", "c2").alias("t1"), F.xxhash64("c2", "c1", "place").alias("t2"))
     ranged = store.put(hashed.repartitionByRange("conv", "place").withColumn("part", F.spark_partition_id()), "hashed")
     xor = lambda c: F.call_function("bit_xor", F.col(c))
     before = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range

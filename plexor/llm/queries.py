@@ -120,8 +120,9 @@ SQL = {
         FROM c""",
     "op12_suffix_dedup": r"""
         WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
-        s AS (SELECT doc_id, n, i, substr(x, 2 * i + 1, 100) AS w FROM (SELECT *, unnest(range(n - 49)) AS i FROM t WHERE n >= 50)),
-        m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) < doc_id AS gone FROM s),
+        s AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 100)) AS w FROM (SELECT *, unnest(range(n - 49)) AS i FROM t WHERE n >= 50)),
+        f AS (SELECT w, min(doc_id) AS first FROM s GROUP BY w HAVING min(doc_id) < max(doc_id)),
+        m AS (SELECT doc_id, i, first < doc_id AS gone FROM s JOIN f USING (w)),
         g AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS fresh FROM m WHERE gone),
         r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k),
         c AS (SELECT r.doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS before FROM r),
