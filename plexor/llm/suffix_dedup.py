@@ -39,13 +39,16 @@ from pyspark.sql import functions as F
 
 from plexor.llm.store import Store, spread_join, with_ids
 from plexor.llm.suffixes import common_prefixes, suffix_order, words_at
-from plexor.llm.words import Slab
+from plexor.llm.words import SLAB, Slab
 
-PART = 8 << 20
+#: Bytes of texts that a task handles at once; some 100 bytes of arrays for each.
+PART = 2 << 20
+#: Parts that an owner of anchors, and one of their surroundings, stands for.
+ANCHORS_OF, AROUND_OF = 16, 4
 #: Strings that have an anchor in common begin at one of so many places around it.
 SPREAD = 31
 #: Bytes of surroundings whose suffixes are put in order at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Surroundings of one anchor that an owner takes; there are about 100 bytes in each.
 HOT = 20_000
 
@@ -60,6 +63,19 @@ def extremes(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return x
 
 
+def anchors_of(slab: Slab, length: int) -> tuple[np.ndarray, np.ndarray]:
+    gram, n = length - SPREAD + 1, len(slab.data)
+    slab.prepare(lower=False)
+    starts = np.arange(n - gram + 1)
+    h = slab.hashes(starts, starts + gram) | np.uint64(1)
+    least = extremes(h, SPREAD, np.minimum)
+    for end in slab.offsets[1:-1]:  # strings over the end of a document are none
+        least[max(0, end - length + 1) : end] = 0
+    edge = np.zeros(SPREAD - 1, np.uint64)
+    at = np.flatnonzero(extremes(np.concatenate([edge, least, edge]), SPREAD, np.maximum) == h)
+    return at, h[at]
+
+
 @dataclass
 class Part:
     """The distinct documents of a part, in order, as one buffer."""
@@ -75,20 +91,17 @@ class Part:
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         return cls(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), Slab(0, np.frombuffer(b"".join(texts), np.uint8), offsets))
 
-    def owner(self) -> np.ndarray:
-        """The document of every byte."""
-        return np.repeat(np.arange(len(self.ids)), np.diff(self.slab.offsets))
-
     def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, hashes) of the anchors of all strings of `length` bytes."""
-        gram, n, own = length - SPREAD + 1, len(self.slab.data), self.owner()
-        self.slab.prepare(lower=False)
-        starts = np.arange(n - gram + 1)
-        h = self.slab.hashes(starts, starts + gram) | np.uint64(1)
-        least = np.where(own[: n - length + 1] == own[length - 1 :], extremes(h, SPREAD, np.minimum), 0)
-        edge = np.zeros(SPREAD - 1, np.uint64)
-        at = np.flatnonzero(extremes(np.concatenate([edge, least, edge]), SPREAD, np.maximum) == h)
-        return at, h[at]
+        offsets, places, hashes, i = self.slab.offsets, [], [], 0
+        while i < len(self.ids):  # some documents at a time, which caches hold
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLAB, "right")) - 1)
+            some = Slab(i, self.slab.data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            at, h = anchors_of(some, length)
+            places.append(at + offsets[i])
+            hashes.append(h)
+            i = j
+        return np.concatenate(places), np.concatenate(hashes)
 
     def around(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, documents) of the surroundings of anchors."""
@@ -200,6 +213,7 @@ def surroundings(length: int, bits: int):
             first = order[head + _first(part.ids[docs] == np.repeat(leader, np.diff(np.append(head, len(order)))), head)]
             starts, ends = np.concatenate([starts, first]), np.concatenate([ends, first + length])
             doc = np.concatenate([doc, np.searchsorted(part.slab.offsets, first, "right") - 1])
+            part.slab.prepare(lower=False)
             key = np.concatenate([key, part.slab.hashes(first, first + length)])
         by = np.argsort(key)
         starts, ends, doc, key = starts[by], ends[by], doc[by], key[by]
@@ -232,7 +246,7 @@ def repeated(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.nd
     words = words_at(data)
     order = suffix_order(data, wanted, words)
     head = np.flatnonzero(common_prefixes(words, order, length) < length)
-    own = np.searchsorted(starts, order, "right") - 1
+    own = np.repeat(np.arange(len(sizes)), sizes)[order]
     least = np.minimum.reduceat(ids[own], head)
     lost = ids[own] > np.repeat(least, np.diff(np.append(head, len(order))))
     return np.bincount(own[lost], 2.0 ** (order[lost] - starts[own[lost]]), len(starts)).astype("<u4")
@@ -315,14 +329,14 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, length: int = 50, part: i
 
     size = signed.where("doc_id is not null and not copy").agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
     parts = max(1, -(-size // part))
-    bits = (parts - 1).bit_length()
+    bits, near = ((-(-parts // of) - 1).bit_length() for of in (ANCHORS_OF, AROUND_OF))
     copies = store.put(signed.where("copy").select("doc_id", "raw").distinct(), "copies")
     heads = with_ids(plain.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)), copies, ["doc_id", "raw"], "left_anti")
     # Read three times, shuffled once: the exchange is the same in all three.
     texts = heads.select(F.pmod(F.xxhash64("doc_id", "raw"), F.lit(parts)).alias("part"), "doc_id", "raw", "text")
     sent = texts.groupBy("part").applyInArrow(screened(length, bits), SENT)
     shared = sent.groupBy("bucket").applyInArrow(answered(hot), SHARED)
-    around = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(surroundings(length, bits), AROUND)
+    around = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(surroundings(length, near), AROUND)
     found = around.groupBy("bucket").applyInArrow(judged(length), FOUND)
     kind = "doc_id long, raw long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept
     verdict = store.put(texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(marked(length, kind), kind), "verdict")

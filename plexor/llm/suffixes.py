@@ -112,18 +112,19 @@ def suffix_order(data: np.ndarray, wanted: np.ndarray, words: np.ndarray | None
 def common_prefixes(words: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Bytes, up to depth, that each suffix of `order` has in common with the one before it (the first: none)."""
     out = np.zeros(len(order), np.int64)
-    open_ = np.arange(1, len(order))
+    open_ = np.ones(max(0, len(order) - 1), bool)
     for off in range(0, depth, 8):
-        x = words[order[open_] + off] ^ words[order[open_ - 1] + off]
-        same = x == 0
+        w = words[order + off]
+        x = w[1:] ^ w[:-1]
+        ends = np.flatnonzero(open_ & (x != 0))
         # Leading zero bytes of what differs.
-        top = x[~same]
+        top = x[ends]
         lead = np.zeros(len(top), np.int64)
         for bits in (32, 16, 8):
             high = top >> np.uint64(64 - bits) == 0
             lead += high * (bits // 8)
             top = np.where(high, top << np.uint64(bits), top)
-        out[open_[~same]] = off + lead
-        open_ = open_[same]
-        out[open_] = off + 8
+        out[ends + 1] = off + lead
+        open_[ends] = False
+    out[1:][open_] = depth
     return np.minimum(out, depth)

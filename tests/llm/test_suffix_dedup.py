@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import plexor.llm.suffix_dedup as module
 from plexor.llm.suffix_dedup import suffix_dedup
 from plexor.llm.suffixes import common_prefixes, sorted_directly, suffix_order, type_b, words_at
 
@@ -62,7 +63,9 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("part, hot", [(8 << 20, 20_000), (2_000, 20_000), (2_000, 3)])
-def test_as_by_hand(spark, part, hot):
+def test_as_by_hand(spark, part, hot, monkeypatch):
+    monkeypatch.setattr(module, "ANCHORS_OF", 1)
+    monkeypatch.setattr(module, "AROUND_OF", 1)
     rows = corpus(part + hot)
     got = suffix_dedup(spark, table(spark, rows), part=part, hot=hot, kept=True).collect()
     assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept))) for r in got) == brute(rows)
