@@ -42,9 +42,9 @@ from plexor.llm.suffixes import common_prefixes, suffix_order, words_at
 from plexor.llm.words import SLAB, Slab
 
 #: Bytes of texts that a task handles at once; some 100 bytes of arrays for each.
-PART = 2 << 20
+PART = 1 << 20
 #: Parts that an owner of anchors, and one of their surroundings, stands for.
-ANCHORS_OF, AROUND_OF = 16, 4
+ANCHORS_OF, AROUND_OF = 8, 4
 #: Strings that have an anchor in common begin at one of so many places around it.
 SPREAD = 31
 #: Bytes of surroundings whose suffixes are put in order at once.
