@@ -3,6 +3,9 @@
 H is a table (node, h array<double>); D and the Gram matrix are k numbers and k x k numbers,
 which live on the driver.  n x n matrices are never formed: the objective comes from
 traces, and the denominator from H (D G D), k x k on the right.
+
+Training runs on blocks (`blocks.Blocks`): rows of H by hash of the node, edges by the block of
+their far end, written once and bucketed, so that an iteration shuffles rows of H and sums but no edges.
 """
 
 from __future__ import annotations
@@ -15,10 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexor.functions.arrays import dot, l1_rows, literal, soft_threshold, total
-from plexor.sources.tables import settled
-
-EPS = 1e-12
+from plexor.functions.arrays import dot, literal
+from plexor.operators.blocks import EPS, Blocks, Step
 
 
 def hashed_start(nodes: DataFrame, k: int) -> DataFrame:
@@ -33,11 +34,11 @@ def random_start(nodes: DataFrame, k: int, seed: int, floor: float = 1e-8) -> Da
     return nodes.select("node", F.array(*[F.greatest(normal(r) + 1e-6, F.lit(floor)) for r in range(k)]).alias("h"))
 
 
-def spmm(both: DataFrame, h: DataFrame, k: int) -> DataFrame:
-    """layer, node, ah: A_l H, one join and one aggregation."""
-    met = both.join(h.withColumnRenamed("node", "v"), "v")
-    sums = met.groupBy("layer", F.col("u").alias("node")).agg(*[F.sum(F.col("w") * F.col("h")[r]).alias(f"s{r}") for r in range(k)])
-    return sums.select("layer", "node", F.array(*[f"s{r}" for r in range(k)]).alias("ah"))
+def spmm(both: DataFrame, h: DataFrame, k: int, **options) -> DataFrame:
+    """layer, node, ah: A_l H, as sums of products of blocks (the options are those of Blocks)."""
+    blocks = Blocks(both, h, k, **options)
+    blocks.finish()
+    return blocks.products()
 
 
 def gram(h: DataFrame, k: int) -> np.ndarray:
@@ -92,29 +93,32 @@ def weighted_product(products: DataFrame, d: dict[str, np.ndarray], weights: dic
     return products.select("node", F.zip_with("ah", of, lambda x, y: x * y).alias("t")).groupBy("node").agg(F.array(*[F.sum(F.col("t")[r]) for r in range(k)]).alias("num"))
 
 
-def times(h: Column, matrix: np.ndarray) -> Column:
-    """h times a k x k matrix."""
-    return F.array(*[dot(h, literal(matrix[:, r])) for r in range(matrix.shape[1])])
-
-
 def inner_matrix(g: np.ndarray, d: dict[str, np.ndarray], weights: dict[str, float]) -> np.ndarray:
     """sum over layers of w_l D_l G D_l; H times this is the denominator."""
     return sum(weights[x] * (d[x][:, None] * g * d[x][None, :]) for x in d)
 
 
+def _by_rows(met: DataFrame, columns: list[str], k: int, change) -> DataFrame:
+    """node, h: change(ids, *columns as matrices) of rows; a null row counts as zeros."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            mats = []
+            for i in range(len(columns)):
+                column = batch.column(1 + i).fill_null([0.0] * k) if batch.column(1 + i).null_count else batch.column(1 + i)
+                mats.append(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k))
+            rest = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1 + len(columns), batch.num_columns)]
+            new = change(*mats, *rest)
+            yield pa.RecordBatch.from_arrays([ids, pa.FixedSizeListArray.from_arrays(pa.array(new.ravel()), k).cast(pa.list_(pa.float64()))], ["node", "h"])
+
+    return met.mapInArrow(run, "node long, h array<double>")
+
+
 def updated(h: DataFrame, num: DataFrame, inner: np.ndarray, mu: float = 0.0, floor: float = EPS, lam: float = 0.0, rows: bool = False, damping: float | None = None) -> DataFrame:
     """H * num / (H inner + mu H + eps), floored; damped, soft-thresholded and with rows of sum 1 where asked."""
-    met = h.join(num, "node", "left")
-    zero = literal(np.zeros(len(inner)))
-    met = met.select("node", "h", F.coalesce("num", zero).alias("num"), times(F.col("h"), inner).alias("den"))
-    ratio = F.zip_with("num", F.zip_with("den", "h", lambda x, y: x + mu * y + EPS), lambda x, y: x / y)
-    new = F.zip_with("h", ratio, lambda x, y: x * y)
-    if damping is not None:
-        new = F.zip_with("h", new, lambda x, y: (1 - damping) * x + damping * y)
-    met = met.select("node", F.transform(new, lambda x: F.greatest(x, F.lit(floor))).alias("h"))
-    if lam:
-        met = met.select("node", soft_threshold(F.col("h"), lam).alias("h"))
-    return met.select("node", l1_rows(F.col("h")).alias("h")) if rows else met
+    step = Step(inner=inner, mu=mu, floor=floor, lam=lam, rows=rows, damping=damping)
+    return _by_rows(h.join(num, "node", "left").select("node", "h", "num"), ["h", "num"], len(inner), step.multiply)
 
 
 def objective(norms: dict[str, float], g: np.ndarray, b: dict[str, np.ndarray], d: dict[str, np.ndarray], weights: dict[str, float]) -> float:
@@ -145,19 +149,11 @@ def modularity_product(aggregate: DataFrame, h: DataFrame, k: int) -> DataFrame:
 
 def gradient_step(h: DataFrame, num: DataFrame, inner: np.ndarray, alpha: float, gamma: float = 0.0, bh: DataFrame | None = None, eta: float = 0.0, seeds: DataFrame | None = None, rows: bool = True) -> DataFrame:
     """One projected step of H against 2 (H inner - num) - 2 gamma B H + 2 eta (h - onehot(label mod k)) on seeds (node, label)."""
-    k = len(inner)
-    zero = literal(np.zeros(k))
-    met = h.join(num, "node", "left").withColumn("num", F.coalesce("num", zero)).withColumn("den", times(F.col("h"), inner))
-    slope = F.zip_with("den", "num", lambda x, y: 2 * (x - y))
-    met = met.withColumn("slope", slope)
-    if bh is not None and gamma:
-        met = met.join(bh, "node", "left").withColumn("slope", F.zip_with("slope", F.coalesce("bh", zero), lambda x, y: x - 2 * gamma * y))
-    if seeds is not None and eta:
-        met = met.join(seeds.select("node", F.col("label").alias("seed")), "node", "left")
-        pull = F.transform("h", lambda x, r: 2 * eta * (x - (r == F.pmod(F.col("seed"), F.lit(k))).cast("double")))
-        met = met.withColumn("slope", F.when(F.col("seed").isNotNull(), F.zip_with("slope", pull, lambda x, y: x + y)).otherwise(F.col("slope")))
-    new = met.select("node", F.zip_with("h", "slope", lambda x, y: F.greatest(x - alpha * y, F.lit(0.0))).alias("h"))
-    return new.select("node", l1_rows(F.col("h")).alias("h")) if rows else new
+    step = Step(inner=inner, rows=rows, alpha=alpha, gamma=gamma, eta=eta)
+    met = h.join(num, "node", "left")
+    met = met.join(bh, "node", "left") if bh is not None else met.withColumn("bh", literal(np.zeros(len(inner))))
+    met = met.join(seeds.select("node", F.col("label").cast("long").alias("seed")), "node", "left") if seeds is not None else met.withColumn("seed", F.lit(None).cast("long"))
+    return _by_rows(met.select("node", "h", "num", "bh", F.coalesce("seed", F.lit(-1)).alias("seed")), ["h", "num", "bh"], len(inner), step.descend)
 
 
 @dataclass
@@ -195,55 +191,62 @@ class Fit:
     history: list[float] = field(default_factory=list)
 
 
-def train(both: DataFrame, start: DataFrame, k: int, rule: Rule = MAIN, weights: dict[str, float] | None = None, max_iter: int = 500, tol: float = 1e-4, seeds: DataFrame | None = None) -> Fit:
+def train(both: DataFrame, start: DataFrame, k: int, rule: Rule = MAIN, weights: dict[str, float] | None = None, max_iter: int = 500, tol: float = 1e-4, seeds: DataFrame | None = None, **options) -> Fit:
     """Alternates D and H until the objective settles.
 
-    both: written edges in both directions.  Each iteration has one join of edges with H,
-    whose result serves D, the numerator and the objective; H is then written, so plans
-    stay short and a lost executor costs one file's re-read.
+    both: edges in both directions.  An iteration is two jobs: one makes the new H, its
+    products with all layers, and each block's share of G, b and what else the objective needs,
+    and writes them; one adds the shares up.  Only the last state that counts is kept, beside the one in work.  A lost executor costs the re-read of a
+    file.  The options are those of Blocks.
     """
     norms = {r["layer"]: r["norm"] for r in squared_norms(both).collect()}  # a row for each layer
     w = weights or {x: 1.0 for x in norms}
-    h, history, damping = settled(start, "h"), [], 0.1
-    g = gram(h, k)
-    products = settled(spmm(both, h, k), "products")
-    diag = lambda p, hh: {r["layer"]: np.array(r["b"]) for r in diagonal(p, hh, k).collect()}  # a row for each layer
-    b = diag(products, h)
-    find = (lambda: {x: solve_d(g, b[x], rule.reg, rule.clip) for x in b}) if rule.joint_d else (lambda: {x: separate_d(g, b[x], rule.nu, rule.clip) for x in b})
-    aggregate = settled(both.select("u", "v", (F.col("w") * F.coalesce(*[F.when(F.col("layer") == x, F.lit(float(w[x]))) for x in w])).alias("w")).groupBy("u", "v").agg(F.sum("w").alias("w")), "aggregate") if rule.pgd_steps and rule.gamma else None
-    d = find()
-    for i in range(max_iter):
-        d = find()
-        num = weighted_product(products, d, w, k)
-        new = settled(updated(h, num, inner_matrix(g, d, w), rule.mu if rule.ridge else 0.0, rule.floor, rule.lam if rule.lam_in_update else 0.0, rule.rows, damping if rule.damped else None), "h")
+    blocks = Blocks(both, start, k, weights=w, seeds=seeds, **options)
+    sums, history = blocks.sums(), blocks.history  # of a folder that is gone on from: where its last whole iteration ended
+    find = (lambda s: {x: solve_d(s.gram, s.b[x], rule.reg, rule.clip) for x in s.b}) if rule.joint_d else (lambda s: {x: separate_d(s.gram, s.b[x], rule.nu, rule.clip) for x in s.b})
+    damping = _damping(history)
+    for i in range(len(history), max_iter):
+        if _settled(history, tol):
+            break
+        d = find(sums)
+        inner = inner_matrix(sums.gram, d, w)
+        step = Step(inner=inner, d=d, mu=rule.mu if rule.ridge else 0.0, floor=rule.floor, lam=rule.lam if rule.lam_in_update else 0.0, rows=rule.rows, damping=damping if rule.damped else None)
+        after = blocks.advance(step)
         for _ in range(rule.pgd_steps):
-            num = weighted_product(spmm(both, new, k), d, w, k)
-            bh = modularity_product(aggregate, new, k) if aggregate is not None else None
-            new = settled(gradient_step(new, num, inner_matrix(gram(new, k), d, w), rule.alpha, rule.gamma, bh, rule.eta, seeds, rule.rows), "h")
-        after = gram(new, k)
-        if not np.isfinite(after).all():  # a number of H that isn't finite leaves none in its place of the Gram matrix
+            if not after.finite:
+                break
+            step = Step(inner=inner_matrix(after.gram, d, w), d=d, rows=rule.rows, alpha=rule.alpha, gamma=rule.gamma, eta=rule.eta, dh=after.dh, two_m=after.two_m)
+            after = blocks.advance(step)
+        if not after.finite:  # a number of H that isn't finite leaves none in its place of the Gram matrix
+            blocks.back()
             history.append(float("nan"))
             break
-        h, g = new, after
-        products = settled(spmm(both, h, k), "products")
-        b = diag(products, h)
-        value = objective(norms, g, b, d, w)
+        sums = after
+        value = objective(norms, sums.gram, sums.b, d, w)
         if rule.ridge:
-            value += rule.mu * float(np.trace(g))
+            value += rule.mu * float(np.trace(sums.gram))
         else:
             value += rule.mu * sum(float(d[x] @ d[x]) for x in d)
             if rule.lam and not rule.lam_in_update:
-                value += rule.lam * h.agg(F.sum(total(F.col("h"))).alias("s")).first()["s"]
-        if rule.gamma and aggregate is not None:
-            met = modularity_product(aggregate, h, k).join(h, "node")
-            value -= rule.gamma * met.agg(F.sum(dot(F.col("h"), F.col("bh"))).alias("s")).first()["s"]
+                value += rule.lam * sums.total
+        if rule.gamma and rule.pgd_steps:
+            value -= rule.gamma * (sum(w[x] * float(sums.b[x].sum()) for x in sums.b) - float(sums.dh @ sums.dh) / sums.two_m)
         history.append(value)
+        blocks.commit(history)
         if not np.isfinite(value):
             break
-        if rule.damped and i >= 2:
-            damping = min(0.5, damping * 1.05) if history[-1] < history[-2] else max(0.01, damping * 0.99)
-        if i >= 1 and abs(history[-2] - history[-1]) / (abs(history[-2]) + EPS) < tol:
-            break
-    return Fit(h, find(), history)
+        damping = _damping(history)
+    blocks.finish()
+    return Fit(blocks.rows(), find(sums), history)
+
+
+def _damping(history: list[float]) -> float:
+    """What a damped model's next iteration takes, from the objectives so far."""
+    out = 0.1
+    for i in range(2, len(history)):
+        out = min(0.5, out * 1.05) if history[i] < history[i - 1] else max(0.01, out * 0.99)
+    return out
 
 
+def _settled(history: list[float], tol: float) -> bool:
+    return len(history) > 1 and abs(history[-2] - history[-1]) / (abs(history[-2]) + EPS) < tol

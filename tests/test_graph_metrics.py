@@ -3,10 +3,12 @@ import itertools
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from plexor.operators import graph, metrics
-from plexor.operators.cluster import community_start, kmeans_labels, louvain, louvain_distributed, small_community_seeds, with_isolated
+from plexor.operators.cluster import community_start, kmeans_labels, louvain, small_community_seeds, with_isolated
 from plexor.operators.consensus import coassociation, coassociation_sampled, consensus_communities, reaching
+from plexor.sources.tables import settled
 
 TRIANGLES = [(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5)]
 
@@ -90,10 +92,9 @@ def test_hold_out_and_negatives(spark, two_layers):
     assert graph.negative_pairs(full, index, 50).count() == 0  # a complete graph ends with none
 
 
-@pytest.mark.parametrize("find", [louvain, louvain_distributed])
-def test_louvain_finds_planted_blocks(spark, find):
+def test_louvain_finds_planted_blocks(spark):
     edges = edges_of(spark, planted())
-    labels = find(edges)
+    labels = settled(louvain(edges), "labels")
     for layer in ("x", "y"):
         one = edges.where(f"layer = '{layer}'")
         got = metrics.modularity(one, labels.where(f"layer = '{layer}'").select("node", "label")).first().modularity
@@ -136,10 +137,10 @@ def test_clean_up_sees_the_edges_of_every_part(spark):
     assert any(u % 10 for _, u, _ in want)
 
 
-def test_louvain_as_plans_runs_until_no_move_gains(spark):
-    """In the end no two communities are better as one: on a long path that takes more rounds and levels than a few."""
-    n = 4000
-    label = {r.node: r.label for r in louvain_distributed(edges_of(spark, {"A": [(i, i + 1) for i in range(n)]})).collect()}
+def test_louvain_runs_until_no_move_gains(spark):
+    """In the end no two communities are better as one: on a long path that takes several levels."""
+    n, rounds = 2000, []
+    label = {r.node: r.label for r in louvain(edges_of(spark, {"A": [(i, i + 1) for i in range(n)]}), tol=0.0, rounds=rounds).collect()}
     filled, links = {}, {}
     for i in range(n):
         for end in (i, i + 1):
@@ -149,34 +150,56 @@ def test_louvain_as_plans_runs_until_no_move_gains(spark):
     for pair, w in links.items():
         if len(pair) == 2:
             assert w <= math.prod(filled[x] for x in pair) / (2 * n) + 1e-9
+    assert len(rounds) > 2
 
 
-@pytest.mark.parametrize("seed", [0, 3])
-def test_louvain_is_the_same_in_a_task_and_as_plans(spark, seed):
-    """Rings of cliques with weights, a planted graph, loops, and what contraction makes of them: equal labels either way."""
-    from plexor.operators.cluster import louvain_local
+@pytest.mark.parametrize("salts", [1, 32])
+def test_a_round_gains_at_least_what_it_says(spark, salts):
+    """Weighted layers, a hub, loops: modularity after a round of moves made at once is no less than the sum of their bounds, and many are made."""
+    from plexor.operators.cluster import _round
 
-    rng = __import__("random").Random(seed)
-    ring = [(10 * i + a, 10 * i + b, 2.0) for i in range(8) for a in range(5) for b in range(a)] + [(10 * i, 10 * ((i + 1) % 8) + 1, 1.0) for i in range(8)] + [(3, 3, 4.0)]
-    loose = [(rng.randrange(80), rng.randrange(80), float(rng.randint(1, 3))) for _ in range(240)]
+    rng = __import__("random").Random(salts)
     weights = {}
-    for u, v, w in loose:
-        weights[min(u, v), max(u, v)] = weights.get((min(u, v), max(u, v)), 0) + w
-    rows = [("ring", min(u, v), max(u, v), w) for u, v, w in ring] + [("loose", u, v, w) for (u, v), w in weights.items()]
-    edges = spark.createDataFrame(rows, "layer string, u long, v long, w double")
-    of = lambda df: {(r.layer, r.node): r.label for r in df.collect()}
-    local = of(louvain(edges, seed))
-    assert local == of(louvain_local(edges, seed)) == of(louvain(edges, seed, most=0)) == of(louvain(edges, seed, most=100))
-    assert len({x for (layer, _), x in local.items() if layer == "ring"}) <= 8
-
-
-def test_hash_is_spark_s(spark):
-    import numpy as np
-    from pyspark.sql import functions as F
-
-    from plexor.operators.cluster import xxhash64
-
-    values = [0, 1, -1, 2**40, -(2**63), 2**63 - 1]
-    got = spark.createDataFrame([(x,) for x in values], "x long").select(F.xxhash64("x", F.lit(7)).alias("h"), F.xxhash64("x", F.lit(-3)).alias("n")).collect()
-    assert [r.h for r in got] == xxhash64(np.array(values), 7).view(np.int64).tolist()
-    assert [r.n for r in got] == xxhash64(np.array(values), -3).view(np.int64).tolist()
+    for _ in range(900):
+        u, v = sorted((rng.randrange(120), rng.randrange(120)))
+        weights[u, v] = weights.get((u, v), 0) + rng.choice([0.3, 1.0, 2.5])
+    weights |= {(0, v): 1.0 for v in range(1, 120)}
+    two_m = 2 * sum(weights.values())
+    strength = dict.fromkeys(range(120), 0.0)
+    for (u, v), w in weights.items():
+        strength[u] += w
+        strength[v] += w
+    links = spark.createDataFrame([("A", *e, w) for (u, v), w in weights.items() if u != v for e in ((u, v), (v, u))], "layer string, u long, v long, w double")
+
+    def modularity(label):
+        inside, full = 0.0, {}
+        for (u, v), w in weights.items():
+            inside += 2 * w * (label[u] == label[v])
+        for x, k in strength.items():
+            full[label[x]] = full.get(label[x], 0) + k
+        return inside / two_m - sum((f / two_m) ** 2 for f in full.values())
+
+    label, moved = {x: x for x in range(120)}, []
+    for _ in range(4):
+        state = spark.createDataFrame([("A", x, label[x], strength[x], two_m) for x in range(120)], "layer string, node long, label long, k double, two_m double")
+        got = _round(links, state, salts).collect()
+        new = {r.node: r.label for r in got}
+        gained = [r.gained for r in got if r.gained is not None]
+        assert gained and min(gained) > 0 and modularity(new) - modularity(label) >= sum(gained) - 1e-9
+        moved.append(len(gained))
+        label = new
+    assert max(moved) >= 10
+
+
+def test_louvain_on_a_million_edges_takes_few_rounds(spark):
+    """200 planted blocks of 100 nodes: every one is found, in a stated number of rounds, whatever the partitioning."""
+    nodes = spark.range(20_000)
+    inner = nodes.select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(1), F.lit(99))).alias("step")).select("u", (F.col("u") + F.col("step")).alias("v")).where("floor(u / 100) = floor(v / 100)")
+    outer = nodes.select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).select("u", F.pmod(F.xxhash64("u", "i"), F.lit(20_000)).alias("v")).where("u < v").distinct()
+    edges = settled(inner.unionByName(outer).distinct().select(F.lit("A").alias("layer"), "u", "v", F.lit(1.0).alias("w")), "planted")
+    assert edges.count() > 1_000_000
+    rounds = []
+    labels = louvain(edges, rounds=rounds)
+    assert sum(rounds) <= 30
+    per = labels.groupBy(F.floor(F.col("node") / 100).alias("block")).agg(F.countDistinct("label").alias("k"), F.min("label").alias("label"))
+    assert {r.k for r in per.collect()} == {1} and per.select("label").distinct().count() == 200
