@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from plexor.llm.store import Store, scan
 from plexor.llm.tokens import token_table
 from plexor.llm.words import slabs
+from plexor.sources.archives import FileRanges, loaded
 
 BLOCK = 1 << 20
 SEGMENT = 256
@@ -72,16 +73,9 @@ def token_files(docs: DataFrame, path: str, eod: int, block: int = BLOCK) -> Dat
 
 
 def file_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """name, file, block, data of real flat files (each up to Spark's 2 GB a file) under a path that Spark can read."""
-    whole = spark.read.format("binaryFile").load(path).select("path", F.xxhash64("path").alias("file"), "content")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, file, content in zip(*(c.to_pylist() for c in batch.columns)):
-                for k, at in enumerate(range(0, len(content), block)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([file], pa.int64()), pa.array([k], pa.int64()), pa.array([content[at : at + block]], pa.binary())], ["name", "file", "block", "data"])
-
-    return whole.mapInArrow(cut, "name string, file long, block long, data binary")
+    """name, file, block, data of real flat files, each range read for itself; block: bytes, a multiple of a token's."""
+    found = loaded(spark, FileRanges, path, range=block)
+    return found.select(F.col("path").alias("name"), F.xxhash64("path").alias("file"), (F.col("start") / block).cast("long").alias("block"), F.col("content").alias("data"))
 
 
 def summaries(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
