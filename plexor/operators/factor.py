@@ -126,6 +126,19 @@ def objective(norms: dict[str, float], g: np.ndarray, b: dict[str, np.ndarray],
     return float(sum(weights[x] * (norms[x] + np.sum((d[x][:, None] * g) * (d[x][:, None] * g).T) - 2 * d[x] @ b[x]) for x in norms))
 
 
+def penalty(rule: Rule, g: np.ndarray, d: dict[str, np.ndarray], total: float) -> float:
+    """What a rule adds to the objective for large H and D; total: the sum of H."""
+    if rule.ridge:
+        return rule.mu * float(np.trace(g))
+    return rule.mu * sum(float(x @ x) for x in d.values()) + (rule.lam * total if not rule.lam_in_update else 0.0)
+
+
+def pair_scores(pairs: DataFrame, h: DataFrame, *keep: str) -> DataFrame:
+    """u, v, the columns to keep, score: H_u . H_v."""
+    of = lambda end: h.select(F.col("node").alias(end), F.col("h").alias(f"h{end}"))
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", *keep, dot(F.col("hu"), F.col("hv")).alias("score"))
+
+
 def squared_norms(both: DataFrame) -> DataFrame:
     """layer, norm: ||A||^2."""
     return both.groupBy("layer").agg(F.sum(F.col("w") * F.col("w")).alias("norm"))
@@ -222,13 +235,7 @@ def train(both: DataFrame, start: DataFrame, k: int, rule: Rule = MAIN, weights:
             history.append(float("nan"))
             break
         sums = after
-        value = objective(norms, sums.gram, sums.b, d, w)
-        if rule.ridge:
-            value += rule.mu * float(np.trace(sums.gram))
-        else:
-            value += rule.mu * sum(float(d[x] @ d[x]) for x in d)
-            if rule.lam and not rule.lam_in_update:
-                value += rule.lam * sums.total
+        value = objective(norms, sums.gram, sums.b, d, w) + penalty(rule, sums.gram, d, sums.total)
         if rule.gamma and rule.pgd_steps:
             value -= rule.gamma * (sum(w[x] * float(sums.b[x].sum()) for x in sums.b) - float(sums.dh @ sums.dh) / sums.two_m)
         history.append(value)

@@ -32,15 +32,13 @@ def conductance(canonical: DataFrame, labels: DataFrame) -> DataFrame:
     met = labelled(canonical, labels)
     ends = met.select("layer", F.explode(F.array("lu", "lv")).alias("label"), (F.col("lu") != F.col("lv")).cast("long").alias("cut"))
     per = ends.groupBy("layer", "label").agg(F.sum("cut").alias("cut"), F.count("*").alias("volume"))
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    nodes = labels.count()
-    names = [F.lit(r["layer"]) for r in canonical.select("layer").distinct().collect()]  # a row for each layer
-    every = sizes.select("label", "size", F.explode(F.array(*names)).alias("layer")) if names else sizes.select("label", "size", F.lit(None).cast("string").alias("layer")).limit(0)
-    volumes = per.groupBy("layer").agg(F.sum("volume").alias("all"))
-    full = every.where((F.col("size") > 0) & (F.col("size") < nodes)).join(per, ["layer", "label"], "left").fillna(0, ["cut", "volume"])
-    full = full.join(F.broadcast(volumes), "layer").withColumn("rest", F.col("all") - F.col("volume"))  # a row for each layer
+    # A community without an edge in a layer adds nothing there, but counts.
+    valid = labels.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") < labels.count())
+    volumes = per.groupBy("layer").agg(F.sum("volume").alias("all"))  # a row for each layer
+    full = per.join(valid, "label").join(F.broadcast(volumes), "layer").withColumn("rest", F.col("all") - F.col("volume"))
     least = F.least("volume", "rest")
-    return full.groupBy("layer").agg(F.avg(F.col("cut") / F.when(least > 0, least).otherwise(1)).alias("conductance"))
+    cut = F.col("cut") / F.when(least > 0, least).otherwise(1)
+    return full.groupBy("layer").agg((F.sum(cut) / F.lit(valid.count())).alias("conductance"))
 
 
 def contingency(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexor.functions.arrays import argmax, dot, l1_rows, l2_rows
+from plexor.functions.arrays import argmax, l1_rows, l2_rows
 from plexor.operators import cluster, consensus, factor, graph, metrics
 from plexor.plans import experiment
 from plexor.sources.edges import parse_edges
@@ -266,7 +267,7 @@ def ag17_norms(spark, d):
 def _state(spark, d):
     """h, products, G, b by layer, D by layer of one iteration."""
     h = settled(h_of(spark, d), "h")
-    products = settled(factor.spmm(both(spark, d), h, K), "products")
+    products = factor.spmm(settled(both(spark, d), "both"), h, K)
     g = factor.gram(h, K)
     b = {r["layer"]: np.array(r["b"]) for r in factor.diagonal(products, h, K).collect()}  # a row for each layer
     return h, products, g, b, {x: factor.separate_d(g, b[x]) for x in b}
@@ -278,12 +279,23 @@ def ml4_d_update(spark, d):
     return spark.createDataFrame([(x, *map(float, v)) for x, v in found.items()], "layer string, " + ", ".join(f"d{r} double" for r in range(K))).select("layer", *[r6(f"d{r}", 8).alias(f"d{r}") for r in range(K)])
 
 
-@query("""SELECT layer, round(greatest(0, (b0 * (g11 * g11 + 1e-8::DOUBLE) - b1 * g01 * g01) / det), 8) AS d0, round(greatest(0, (b1 * (g00 * g00 + 1e-8::DOUBLE) - b0 * g01 * g01) / det), 8) AS d1
-FROM dg, (SELECT *, (g00 * g00 + 1e-8::DOUBLE) * (g11 * g11 + 1e-8::DOUBLE) - g01 * g01 * g01 * g01 AS det FROM g)""")
+def _eliminated() -> str:
+    """(G o G + reg I) d = b by elimination, column by column; the matrix is positive definite, so no rows change places."""
+    cell = lambda a, b: f"m{a}{b}"
+    rows = range(K)
+    sql = "(SELECT layer, " + ", ".join(f"g{a}{b} * g{a}{b}{' + 1e-8::DOUBLE' if a == b else ''} AS {cell(a, b)}" for a in rows for b in rows) + ", " + ", ".join(f"b{r} AS y{r}" for r in rows) + " FROM dg, g)"
+    for p in rows:
+        factor_of = lambda a: f"({cell(a, p)} / {cell(p, p)})"  # noqa: B023, E731
+        kept = lambda a, name, pivot: name if a == p else f"{name} - {factor_of(a)} * {pivot}"  # noqa: B023, E731
+        sql = "(SELECT layer, " + ", ".join(f"{kept(a, cell(a, b), cell(p, b))} AS {cell(a, b)}" for a in rows for b in rows) + ", " + ", ".join(f"{kept(a, f'y{a}', f'y{p}')} AS y{a}" for a in rows) + f" FROM {sql})"
+    return sql
+
+
+@query(f"SELECT layer, {', '.join(f'round(greatest(0, y{r} / m{r}{r}), 8) AS d{r}' for r in range(K))} FROM {_eliminated()}")
 def ml3_d_solve(spark, d):
     _, _, g, b, _ = _state(spark, d)
-    rows = [(x, *map(float, factor.solve_d(g[:2, :2], v[:2]))) for x, v in b.items()]
-    return spark.createDataFrame(rows, "layer string, d0 double, d1 double").select("layer", r6("d0", 8).alias("d0"), r6("d1", 8).alias("d1"))
+    rows = [(x, *map(float, factor.solve_d(g, v))) for x, v in b.items()]
+    return spark.createDataFrame(rows, "layer string, " + ", ".join(f"d{r} double" for r in range(K))).select("layer", *[r6(f"d{r}", 8).alias(f"d{r}") for r in range(K)])
 
 
 _NUM = "SELECT node, " + ", ".join(f"sum(a{r} * d{r} / 5) AS n{r}" for r in range(K)) + " FROM ah JOIN d USING (layer) GROUP BY 1"
@@ -325,15 +337,28 @@ def ml5d_damped(spark, d):
     return _update(spark, d, floor=0.0, damping=0.1)
 
 
-@query("""SELECT round(sum((n2 + """ + " + ".join(f"d{a} * g{a}{b} * d{b} * g{b}{a}" for a in range(K) for b in range(K)) + " - 2 * (" + " + ".join(f"d{r} * b{r}" for r in range(K)) + """)) / 5), 3) AS objective
-FROM d JOIN dg USING (layer) JOIN (SELECT layer, sum(w * w) AS n2 FROM bo GROUP BY 1) USING (layer), g""")
-def ml6_objective(spark, d):
-    _, _, g, b, dd = _state(spark, d)
+_FIT = "(SELECT sum((n2 + " + " + ".join(f"d{a} * g{a}{b} * d{b} * g{b}{a}" for a in range(K) for b in range(K)) + " - 2 * (" + " + ".join(f"d{r} * b{r}" for r in range(K)) + """)) / 5) AS fit
+FROM d JOIN dg USING (layer) JOIN (SELECT layer, sum(w * w) AS n2 FROM bo GROUP BY 1) USING (layer), g)"""
+
+
+def _objective(spark, d, rule: factor.Rule) -> DataFrame:
+    h, _, g, b, dd = _state(spark, d)
     norms = {r["layer"]: r["norm"] for r in factor.squared_norms(both(spark, d)).collect()}  # a row for each layer
-    value = factor.objective(norms, g, b, dd, {x: 0.2 for x in dd})
+    total = h.agg(F.sum(F.aggregate("h", F.lit(0.0), lambda s, x: s + x)).alias("s")).first()["s"]
+    value = factor.objective(norms, g, b, dd, {x: 0.2 for x in dd}) + factor.penalty(rule, g, dd, total)
     return spark.createDataFrame([(value,)], "objective double").select(r6("objective", 3).alias("objective"))
 
 
+@query(f"SELECT round(fit + 0.5::DOUBLE * ({' + '.join(f'g{r}{r}' for r in range(K))}), 3) AS objective FROM {_FIT}, g")
+def ml6_objective(spark, d):
+    return _objective(spark, d, replace(factor.MAIN, mu=0.5))
+
+
+@query(f"SELECT round(fit + 0.5::DOUBLE * (SELECT sum({' + '.join(f'd{r} * d{r}' for r in range(K))}) FROM d) + 0.25::DOUBLE * (SELECT sum(list_sum(h)) FROM h), 3) AS objective FROM {_FIT}")
+def ml6t_objective(spark, d):
+    return _objective(spark, d, replace(factor.PLAIN, mu=0.5, lam=0.25))
+
+
 _BH = "(SELECT node, " + ", ".join(f"coalesce(a{r}, 0) - coalesce(deg, 0) * x{r} / (m + 1e-12::DOUBLE) AS b{r}" for r in range(K)) + f""" FROM h LEFT JOIN (SELECT node, {', '.join(f'sum(a{r}) AS a{r}' for r in range(K))} FROM ah GROUP BY 1) USING (node)
 LEFT JOIN (SELECT u AS node, sum(w) AS deg FROM bo GROUP BY 1) USING (node), (SELECT {', '.join(f'sum(w * h[{r + 1}]) AS x{r}' for r in range(K))}, sum(w) AS m FROM bo JOIN h ON u = node))"""
 
@@ -344,12 +369,12 @@ def ml14_modularity_operator(spark, d):
     return factor.modularity_product(whole, h_of(spark, d), K).select("node", *[r6(F.col("bh")[r], 5).alias(f"b{r}") for r in range(K)])
 
 
-@query(f"SELECT node, {', '.join(f'round(greatest(h[{r + 1}] - 0.001::DOUBLE * (2 * ({_DEN[r]} - coalesce(n{r}, 0)) - 2 * b{r}), 0), 5) AS h{r}' for r in range(K))} FROM h LEFT JOIN ({_NUM}) USING (node) JOIN {_BH} USING (node), ({_INNER})")
+@query(f"SELECT node, {', '.join(f'round(greatest(h[{r + 1}] - 0.001::DOUBLE * (2 * ({_DEN[r]} - coalesce(n{r}, 0)) - 2 * b{r} + 2 * (h[{r + 1}] - (label % {K} = {r})::INT)), 0), 5) AS h{r}' for r in range(K))} FROM h LEFT JOIN ({_NUM}) USING (node) JOIN {_BH} USING (node) JOIN lab USING (node), ({_INNER})")
 def ml15_pgd_step(spark, d):
     h, products, g, _, dd = _state(spark, d)
     w = {x: 0.2 for x in dd}
     whole = both(spark, d).groupBy("u", "v").agg(F.sum("w").alias("w"))
-    new = factor.gradient_step(h, factor.weighted_product(products, dd, w, K), factor.inner_matrix(g, dd, w), 0.001, 1.0, factor.modularity_product(whole, h, K), rows=False)
+    new = factor.gradient_step(h, factor.weighted_product(products, dd, w, K), factor.inner_matrix(g, dd, w), 0.001, 1.0, factor.modularity_product(whole, h, K), 1.0, labels_of(spark, d), rows=False)
     return new.select("node", *[r6(F.col("h")[r], 5).alias(f"h{r}") for r in range(K)])
 
 
@@ -494,15 +519,18 @@ _HELD = "(SELECT layer, u, v FROM (SELECT layer, u, v, row_number() OVER (PARTIT
 
 @query(f"SELECT layer, u, v FROM {_HELD}")
 def st3_holdout(spark, d):
-    return graph.held_out(mx(spark, d), 0.1, 1)
+    return graph.held_out(settled(mx(spark, d), "mx"), 0.1, 1)
 
 
-@query(f"SELECT layer, u, v, w FROM mx ANTI JOIN {_HELD} USING (layer, u, v)")
+@query("SELECT layer, u, v, w FROM mx ANTI JOIN held USING (layer, u, v)")
 def j4_train_edges(spark, d):
-    edges = mx(spark, d)
+    edges = settled(mx(spark, d), "mx")
     return graph.without(edges, graph.held_out(edges, 0.1, 1)).select("layer", "u", "v", "w")
 
 
+SQL["j4_train_edges"] = SQL["j4_train_edges"].replace(WITH, f"{WITH}, held AS MATERIALIZED {_HELD} ")
+
+
 _CAND = "(SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM (SELECT node AS a, (node * 7919 + 13) % (SELECT count(*) FROM nodes) + 1 AS b FROM nodes) WHERE a <> b)"
 
 
@@ -519,18 +547,17 @@ def j5_negative_pairs(spark, d):
 
 @query("SELECT c.u, c.v, round(list_sum(list_transform(range(1, 5), lambda r: a.h[r] * b.h[r])), 6) AS score FROM " + _CAND + " c JOIN h a ON u = a.node JOIN h b ON v = b.node")
 def j6_pair_scores(spark, d):
-    h = h_of(spark, d)
-    of = lambda end: h.select(F.col("node").alias(end), F.col("h").alias(f"h{end}"))
-    return _candidates(spark, d).join(of("u"), "u").join(of("v"), "v").select("u", "v", r6(dot(F.col("hu"), F.col("hv"))).alias("score"))
+    return factor.pair_scores(_candidates(spark, d), h_of(spark, d)).withColumn("score", r6("score"))
 
 
 # Grids and selection
 
 
-@query("SELECT k, mu, norm, init FROM (VALUES (10), (20), (50)) a(k), (VALUES ('1e-6'), ('1e-4'), ('1e-2')) b(mu), (VALUES (0), (1)) c(norm), (VALUES ('louvain'), ('random')) e(init)")
+@query("SELECT k, mu, norm, init FROM (SELECT DISTINCT l_linenumber::BIGINT AS k FROM lineitem), (SELECT DISTINCT l_discount::DOUBLE AS mu FROM lineitem), (SELECT DISTINCT l_returnflag AS norm FROM lineitem), (SELECT DISTINCT o_orderpriority AS init FROM orders)")
 def j10_grid_product(spark, d):
-    axis = lambda name, values, kind: spark.createDataFrame([(v,) for v in values], f"{name} {kind}").coalesce(1)
-    return experiment.grid_table(spark, {"k": axis("k", [10, 20, 50], "int"), "mu": axis("mu", ["1e-6", "1e-4", "1e-2"], "string"), "norm": axis("norm", [0, 1], "int"), "init": axis("init", ["louvain", "random"], "string")})
+    """Axes are the values that columns have."""
+    axis = lambda of, column, kind, name: table(spark, d, of).select(F.col(column).cast(kind).alias(name)).distinct()
+    return experiment.grid_table(spark, {"k": axis("lineitem", "l_linenumber", "long", "k"), "mu": axis("lineitem", "l_discount", "double", "mu"), "norm": axis("lineitem", "l_returnflag", "string", "norm"), "init": axis("orders", "o_orderpriority", "string", "init")})
 
 
 _MODS = "(SELECT (o_orderkey % 50)::BIGINT AS run, CASE WHEN o_custkey % 2 = 0 THEN 'argmax' ELSE 'kmeans' END AS method, max(floor(o_totalprice / 10000)) AS modularity FROM orders GROUP BY 1, 2)"
@@ -553,7 +580,22 @@ def w5_convergence_lag(spark, d):
 
 @query()
 def ml11_kmeans(spark, d):
-    return cluster.kmeans_labels(_vectors(spark, d).select("node", "h"), 10, normalise=True, starts=3)
+    return cluster.kmeans_labels(_vectors(spark, d).select("node", "h"), 10, normalise=True)
+
+
+_UNIT = f"(SELECT node, list_transform(h, lambda x: x / sqrt(list_sum(list_transform(h, lambda y: y * y)))) AS h FROM {_VEC})"
+
+
+@query(f"""SELECT centre, count(*) AS size, round(avg(h[1]), 6) AS first, round(avg(h[2]), 6) AS second, round(sum(far), 6) AS cost FROM
+(SELECT x.node, any_value(x.h) AS h, arg_min(c.centre, c.far) AS centre, min(c.far) AS far FROM {_UNIT} x JOIN (SELECT x.node, c.node AS centre, list_sum(list_transform(range(1, len(x.h) + 1), lambda i: (x.h[i] - c.h[i]) * (x.h[i] - c.h[i]))) AS far FROM {_UNIT} x, {_UNIT} c WHERE c.node < 10) c ON x.node = c.node GROUP BY 1) GROUP BY 1""")
+def ml11_lloyd_step(spark, d):
+    """One step of k-means from the vectors of the ten first ids as centres."""
+    rows = settled(_vectors(spark, d).select("node", l2_rows(F.col("h")).alias("h")), "rows")
+    centres = np.array([r["h"] for r in rows.where("node < 10").orderBy("node").collect()])  # k rows
+    (sums,) = cluster.lloyd_sums(rows, [centres])
+    moved = cluster.moved_centres(centres, sums)
+    out = [(i, int(s[-2]), float(c[0]), float(c[1]), float(s[-1])) for i, (s, c) in enumerate(zip(sums, moved)) if s[-2]]
+    return spark.createDataFrame(out, "centre long, size long, first double, second double, cost double").select("centre", "size", *[r6(c).alias(c) for c in ("first", "second", "cost")])
 
 
 @query()
@@ -574,7 +616,7 @@ def ml16_seeds(spark, d):
     edges = settled(mx(spark, d), "mx")
     weights = graph.layer_weights(graph.entries(edges), "inv_nnz", 0, total="one")
     nodes = nodes_of(spark, d)
-    return cluster.small_community_seeds(experiment.baseline_labels(edges, nodes, weights), nodes.count(), most=300)
+    return cluster.small_community_seeds(experiment.baseline_labels(edges, nodes, weights), nodes.count())
 
 
 @query()
