@@ -3,15 +3,14 @@
 Documents become ids with an end id; only those longer than a sequence are cut, into full
 pieces and a rest.  Full pieces are sequences of their own.  The others are dealt by hash
 into blocks of about `block` pieces (so neither a source nor a group of copies lands in
-one), and each block is evolved on several islands.  A solution is a list of bins; the
-first ones come of best fit in random orders.  Crossover injects the well-filled bins of
+one), and each block is evolved on several islands.  A solution is a list of bins; the first
+one comes of best fit in descending order, so that no block needs more bins than that gives, the
+others of best fit in random orders.  Crossover injects the well-filled bins of
 one parent whole into the other, removes the bins there that hold the same pieces, and puts
 what that displaces back by best fit in descending order; mutation empties the worst-filled
 bins likewise.  After each epoch every island's elite migrates to the next island.  A block
-is done when it has no more bins than its tokens need; only where its generations don't
-get there does the solution of best fit in descending order compete as well.  Bins that
-stay below `enough` of a sequence are taken apart and their pieces, from all blocks, packed
-again, level by level, as long as that saves sequences.
+is done when it has no more bins than its tokens need.  Bins that are not full are taken apart
+and their pieces, from all blocks, packed again, level by level, as long as that saves sequences.
 
 Defined cases: null and empty texts are one piece of the end id alone; repeated rows are
 packed one by one; an empty table gives an empty result; a document of any length is cut
@@ -63,81 +62,97 @@ def cut_pieces(docs: DataFrame, path: str, size: int, end: int) -> DataFrame:
     return scan(docs.select("doc_id", "text"), cut, PIECES)
 
 
-def load(items: list[int], lengths: list[int]) -> int:
-    return sum(map(lengths.__getitem__, items))
+class Solution:
+    """Bins of item numbers, and how full each is."""
 
+    def __init__(self, bins: Bins, fills: list[int]):
+        self.bins, self.fills = bins, fills
 
-def best_fit(items: list[int], lengths: list[int], size: int, bins: Bins) -> Bins:
+    @property
+    def fitness(self) -> tuple[int, int]:
+        """Fewer bins are better; of as many, those filled most unevenly, as they leave the most usable room."""
+        return -len(self.bins), sum(f * f for f in self.fills)
+
+
+def solution(bins: Bins, lengths: list[int]) -> Solution:
+    return Solution(bins, [sum(map(lengths.__getitem__, b)) for b in bins])
+
+
+def descending(items: list[int], lengths: list[int]) -> list[int]:
+    return sorted(items, key=lambda i: (-lengths[i], i))
+
+
+def best_fit(items: list[int], lengths: list[int], size: int, into: Solution) -> Solution:
     """Puts each item, in order, into the fullest bin that has room."""
-    room = sorted((size - load(b, lengths), k) for k, b in enumerate(bins))
+    bins, fills = into.bins, into.fills
+    room = sorted((size - f, k) for k, f in enumerate(fills))
     for i in items:
-        at = bisect_left(room, (lengths[i], -1))
+        n = lengths[i]
+        at = bisect_left(room, (n, -1))
         if at == len(room):
             bins.append([i])
-            insort(room, (size - lengths[i], len(bins) - 1))
+            fills.append(n)
+            insort(room, (size - n, len(bins) - 1))
         else:
             left, k = room.pop(at)
             bins[k].append(i)
-            insort(room, (left - lengths[i], k))
-    return bins
-
+            fills[k] += n
+            insort(room, (left - n, k))
+    return into
 
-def fitness(bins: Bins, lengths: list[int]) -> tuple[int, int]:
-    """Fewer bins are better; of as many, those filled most unevenly, as they leave the most usable room."""
-    return -len(bins), sum(load(b, lengths) ** 2 for b in bins)
 
-
-def crossover(to: Bins, source: Bins, lengths: list[int], size: int, rng: random.Random) -> Bins:
+def crossover(to: Solution, source: Solution, lengths: list[int], size: int, rng: random.Random) -> Solution:
     """Whole well-filled bins of source in `to`, without duplicates, the displaced items by best fit."""
-    well = [b for b in source if load(b, lengths) >= size * 0.995] or source
+    well = [k for k, f in enumerate(source.fills) if f >= size * 0.995] or range(len(source.bins))
     taken = rng.sample(well, max(1, len(well) // rng.randint(2, 4)))
-    inside = {i for b in taken for i in b}
-    kept, displaced = [list(b) for b in taken], []
-    for b in to:
+    inside = {i for k in taken for i in source.bins[k]}
+    kept, displaced = Solution([list(source.bins[k]) for k in taken], [source.fills[k] for k in taken]), []
+    for b, f in zip(to.bins, to.fills):
         if inside.isdisjoint(b):
-            kept.append(list(b))
+            kept.bins.append(list(b))
+            kept.fills.append(f)
         else:
             displaced += [i for i in b if i not in inside]
-    return best_fit(sorted(displaced, key=lambda i: (-lengths[i], i)), lengths, size, kept)
+    return best_fit(descending(displaced, lengths), lengths, size, kept)
 
 
-def mutate(bins: Bins, lengths: list[int], size: int, rng: random.Random) -> Bins:
-    order = sorted(bins, key=lambda b: load(b, lengths))
+def mutate(old: Solution, lengths: list[int], size: int, rng: random.Random) -> Solution:
+    """The worst-filled bins and as many others emptied, their items put back by best fit in nearly descending order."""
+    order = sorted(range(len(old.bins)), key=old.fills.__getitem__)
     n = min(len(order), 2 + rng.randrange(1 + len(order) // 20))
-    displaced = [i for b in order[:n] for i in b]
-    extra = rng.sample(order[n:], min(len(order) - n, n))
-    displaced += [i for b in extra for i in b]
-    gone = {id(b) for b in order[:n] + extra}
+    gone = {*order[:n], *rng.sample(order[n:], min(len(order) - n, n))}
+    displaced = [i for k in gone for i in old.bins[k]]
     spread = rng.choice((0.1, 0.5, 1.0))
     displaced.sort(key=lambda i: -lengths[i] * (1 + spread * rng.uniform(-1, 1)))
-    return best_fit(displaced, lengths, size, [list(b) for b in bins if id(b) not in gone])
+    left = [k for k in range(len(old.bins)) if k not in gone]
+    return best_fit(displaced, lengths, size, Solution([list(old.bins[k]) for k in left], [old.fills[k] for k in left]))
 
 
 def evolve(lengths: list[int], size: int, elites: list[Bins], seed: int, generations: int, population: int = 4) -> tuple[Bins, int]:
-    """(the best solution, the generations that ran): ends when no fewer bins are possible, or the generations are used up."""
+    """(the best solution, the generations that ran): ends when no fewer bins are possible, or the generations are used up.
+
+    The pool begins with best fit in descending order, so no result has more bins than that.
+    """
     rng = random.Random(seed)
     least = -(-sum(lengths) // size)
     order = list(range(len(lengths)))
-    pool = list(elites)
-    while len(pool) < population and min(map(len, pool), default=least + 1) > least:
+    pool = [solution(b, lengths) for b in elites] or [best_fit(descending(order, lengths), lengths, size, Solution([], []))]
+    while len(pool) < population and min(len(s.bins) for s in pool) > least:
         rng.shuffle(order)
-        pool.append(best_fit(order, lengths, size, []))
-    scored = [(fitness(b, lengths), b) for b in pool]
+        pool.append(best_fit(order, lengths, size, Solution([], [])))
+    scored = [(s.fitness, s) for s in pool]
     ran = 0
-    while ran < generations and -max(scored, key=lambda x: x[0])[0][0] > least:
+    while ran < generations and -max(f for f, _ in scored)[0] > least:
         a, b = rng.sample(range(len(scored)), 2)
         child = crossover(scored[a][1], scored[b][1], lengths, size, rng)
         if rng.random() < 0.5:
             child = mutate(child, lengths, size, rng)
-        new = fitness(child, lengths)
+        new = child.fitness
         worst = min(range(len(scored)), key=lambda k: scored[k][0])
         if new > scored[worst][0]:
             scored[worst] = (new, child)
         ran += 1
-    if -max(scored, key=lambda x: x[0])[0][0] > least:
-        sorted_fit = best_fit(sorted(order, key=lambda i: (-lengths[i], i)), lengths, size, [])
-        scored.append((fitness(sorted_fit, lengths), sorted_fit))
-    return max(scored, key=lambda x: x[0])[1], ran
+    return max(scored, key=lambda x: x[0])[1].bins, ran
 
 
 ISLANDS = "block long, island int, items array<struct<length: long, uid: long>>, elites array<array<int>>, ran int"
@@ -200,7 +215,7 @@ def evolved(store: Store, items: DataFrame, blocks: int, size: int, islands: int
     return state
 
 
-def pack(spark: SparkSession, items: DataFrame, size: int = 4096, block: int = 4000, islands: int = 2, epochs: int = 2, generations: int = 40, enough: float = 0.998) -> DataFrame:
+def pack(spark: SparkSession, items: DataFrame, size: int = 4096, block: int = 4000, islands: int = 2, epochs: int = 2, generations: int = 40, enough: float = 1.0) -> DataFrame:
     """uid, sequence_id, offset of items (uid, length below size), in as few sequences as it can."""
     store = Store(spark, "packing")
     done, level, before = [], 0, float("inf")

@@ -63,17 +63,20 @@ def test_counts_of_documents(spark, tokenizer):
     assert token_counts.count_tokens(spark, docs.where("doc_id = -1"), tokenizer_path()).count() == 0
 
 
+def bfd(lengths, size):
+    return packing.best_fit(packing.descending(list(range(len(lengths))), lengths), lengths, size, packing.Solution([], []))
+
+
 def test_crossover_and_mutation_keep_every_item_once():
     rng = random.Random(6)
     lengths = [rng.randint(1, 99) for _ in range(300)]
-    a = packing.best_fit(list(range(300)), lengths, 100, [])
-    b = packing.best_fit(sorted(range(300), key=lambda i: -lengths[i]), lengths, 100, [])
+    a, b = packing.best_fit(list(range(300)), lengths, 100, packing.Solution([], [])), bfd(lengths, 100)
     for child in (packing.crossover(a, b, lengths, 100, rng), packing.mutate(a, lengths, 100, rng)):
-        assert sorted(i for c in child for i in c) == list(range(300))
-        assert all(0 < sum(lengths[i] for i in c) <= 100 for c in child)
-    best, _ = packing.evolve(lengths, 100, [a], 1, 20)
-    assert len(best) <= len(a)
-    assert packing.fitness(best, lengths) >= packing.fitness(b, lengths) or len(best) <= len(b) + 1
+        assert sorted(i for c in child.bins for i in c) == list(range(300))
+        assert child.fills == [sum(lengths[i] for i in c) for c in child.bins] and 0 < min(child.fills) and max(child.fills) <= 100
+    best, _ = packing.evolve(lengths, 100, [a.bins], 1, 20)
+    assert len(best) <= len(a.bins)
+    assert len(packing.evolve(lengths, 100, [], 1, 0)[0]) == len(b.bins)
 
 
 def test_evolution_beats_best_fit():
@@ -82,15 +85,31 @@ def test_evolution_beats_best_fit():
     assert len(packing.evolve(lengths, 10, [], 3, 200)[0]) == 3
 
 
-def test_evolution_packs_the_corpus(spark):
-    """Generations run on real lengths, and leave no more bins than best fit in descending order."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    pieces = packing.cut_pieces(docs, tokenizer_path(), 4096, 1).where("length < 4096").select("uid", "length")
-    lengths = [r.length for r in pieces.collect()]
-    state = packing.evolved(Store(spark, "test"), pieces, 1, 4096, 2, 2, 150, 0).collect()
-    assert sum(r.ran for r in state) > 0
-    sorted_fit = packing.best_fit(sorted(range(len(lengths)), key=lambda i: -lengths[i]), lengths, 4096, [])
-    assert min(1 + max(r.elites[0]) for r in state) <= len(sorted_fit)
+def test_ties_are_packed_alike_each_time(spark):
+    rows = [(i, 512) for i in range(40)] + [(100 + i, 300) for i in range(40)]
+    items = spark.createDataFrame(rows, "uid long, length long")
+    runs = [sorted(map(tuple, packing.pack(spark, items.repartition(n), 1024, block=30).collect())) for n in (1, 5)]
+    assert runs[0] == runs[1] and len({r[1] for r in runs[0]}) <= 20 + 14
+
+
+def test_generations_save_sequences_over_best_fit_on_a_whole_table(spark):
+    """Thousands of pieces that fit by threes: best fit in descending order over the whole table needs far more sequences than the blocks' generations do."""
+    rng, lengths = random.Random(5), []
+    for _ in range(2500):
+        a = rng.randint(1500, 2030)
+        b = rng.randint(1030, 4096 - a - 1030)
+        lengths += [a, b, 4096 - a - b]
+    items = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
+    got = packing.pack(spark, items).groupBy("sequence_id").agg({"uid": "count"}).count()
+    assert 2500 <= got < 0.97 * len(bfd(lengths, 4096).bins)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_corpus_takes_no_more_sequences_than_best_fit(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    pieces = packing.cut_pieces(docs, tokenizer_path(), 4096, 1).where("length < 4096").select("uid", "length").toPandas()
+    got = packing.pack(spark, spark.createDataFrame(pieces)).select("sequence_id").distinct().count()
+    assert got <= len(bfd(pieces["length"].tolist(), 4096).bins)
 
 
 def test_packing(spark, tokenizer):
