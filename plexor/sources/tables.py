@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,5 +39,27 @@ def forgotten(*tables: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: A key that more than this share of all rows has is joined by broadcast; there are fewer such keys than this.
+HOT = 4096
+
+
+def spread_join(rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with other (written, one row a key); keys of more than 1/HOT of the rows, which are counted, come to the rows."""
+    counts = rows.groupBy(*on).agg(F.count("*").alias("k"))
+    hot = settled(counts.where(F.col("k") * HOT > rows.count()).select(*on), "hot")  # fewer than HOT keys
+    near = rows.join(F.broadcast(other.join(F.broadcast(hot), on)), on)
+    return near.unionByName(rows.join(F.broadcast(hot), on, "left_anti").join(other, on))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, on any file system that Spark writes to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

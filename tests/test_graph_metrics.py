@@ -203,3 +203,42 @@ def test_louvain_on_a_million_edges_takes_few_rounds(spark):
     assert sum(rounds) <= 30
     per = labels.groupBy(F.floor(F.col("node") / 100).alias("block")).agg(F.countDistinct("label").alias("k"), F.min("label").alias("label"))
     assert {r.k for r in per.collect()} == {1} and per.select("label").distinct().count() == 200
+
+
+def test_kmeans_runs_share_their_passes(spark):
+    """Ten starts, one pass an iteration: the best is no worse than a run in numpy from the same centres, and three blobs are found."""
+    import numpy as np
+
+    from plexor.operators import cluster
+
+    rng = np.random.default_rng(3)
+    points = np.vstack([rng.normal(c, 0.2, (40, 3)) for c in ((0, 0, 0), (3, 0, 0), (0, 3, 3))])
+    h = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "node long, h array<double>")
+    starts = cluster.seeded_centres(h, 3, 4, 0)
+    assert [c.shape for c in starts] == [(3, 3)] * 4
+    sums = cluster.lloyd_sums(h, starts)
+    for c, s in zip(starts, sums):
+        at = ((points[:, None] - c) ** 2).sum(axis=2)
+        near = at.argmin(axis=1)
+        assert np.allclose(s[:, -2], np.bincount(near, minlength=3)) and np.isclose(s[:, -1].sum(), at.min(axis=1).sum())
+        assert np.allclose(cluster.moved_centres(c, s)[near], np.array([points[near == k].mean(axis=0) for k in near]))
+    got = {r.node: r.label for r in kmeans_labels(h, 3).collect()}
+    assert [len({got[i] for i in range(40 * b, 40 * b + 40)}) for b in range(3)] == [1, 1, 1] and len(set(got.values())) == 3
+    assert kmeans_labels(h.limit(0), 3).count() == 0
+    assert len({r.label for r in kmeans_labels(h.limit(2), 5).collect()}) <= 2
+
+
+@pytest.mark.parametrize("cell", [1, 3, 512])
+def test_a_large_cluster_meets_in_cells(spark, cell):
+    """Pairs are the same however clusters are cut, and no key holds more than about two cells."""
+    from plexor.operators.consensus import celled
+
+    rng = __import__("random").Random(cell)
+    rows = [(run, i, 0 if i < 40 else rng.randrange(3)) for run in range(3) for i in range(60)]
+    runs = spark.createDataFrame(rows, "run int, node long, label long")
+    got = {(r.u, r.v): round(r.c * 3) for r in coassociation(runs, cell).collect()}
+    label = {(run, i): x for run, i, x in rows}
+    want = {(u, v): sum(label[r, u] == label[r, v] for r in range(3)) for u, v in itertools.combinations(range(60), 2)}
+    assert got == {k: n for k, n in want.items() if n}
+    most = max(r["count"] for r in celled(runs, cell).groupBy("run", "label", "low", "high").count().collect())
+    assert most <= (60 if cell == 512 else 2 * cell + 12)
