@@ -139,7 +139,7 @@ def test_clean_up_sees_the_edges_of_every_part(spark):
 
 def test_louvain_runs_until_no_move_gains(spark):
     """In the end no two communities are better as one: on a long path that takes several levels."""
-    n, rounds = 2000, []
+    n, rounds = 200, []
     label = {r.node: r.label for r in louvain(edges_of(spark, {"A": [(i, i + 1) for i in range(n)]}), tol=0.0, rounds=rounds).collect()}
     filled, links = {}, {}
     for i in range(n):
