@@ -14,7 +14,12 @@ Documents are sets of hashed shingles (runs of five words, A-Z lower-cased).  Di
    ``n - ceil(threshold * n) + 1`` of each (its prefix), in ascending order of how many sets
    have a shingle.  Of the sets with a shingle in their prefixes, the one that has most in
    common with others is a pivot.  Each set is compared with its pivots and is in the
-   regions of all of them: two sets that link have a pivot in common.
+   regions of all of them: two sets that link have a pivot in common.  If that shingle is the
+   first that two sets share, no more can be in common than what is left of each from its
+   place on (`shared` in a region), which must reach the link.  The smaller of two sets that
+   link therefore has it so early that what is left would do for a set of its own size: such
+   sets are a region's core, and a shingle that is in nobody's core makes no region.  So text
+   that a whole group shares, but too little of it to link, brings nobody together.
 4. Regions join recursively.  A region of more than `small` sets gets several pivots of
    different components; every set in it is compared with all of them and goes to the
    nearest one's region.  By the triangle inequality, sets that link have distances to any
@@ -25,9 +30,9 @@ Documents are sets of hashed shingles (runs of five words, A-Z lower-cased).  Di
    doesn't divide them (a dense group), the region stays one and goes on with ever more
    pivots, which leave it once all has been compared with them.
 5. In a region only sets of different components are compared, and only where sizes, the
-   windows and `profiles` leave it possible that they link: counts of a set's shared members
-   in LANES classes by hash, of which two sets can't have more in common than the sum of
-   the lesser counts.  So copies cost no pairs within a group.  Every link is decided on whole sets.
+   windows and `profile` leave it possible that they link: the parities of a set's shared
+   members by hash, of which two sets that differ in k members differ in k at most, whatever
+   they share.  So copies cost no pairs within a group.  Every link is decided on whole sets.
 6. Links are merged into components after every level.
 
 What is given per document is the component, not all of its links.
@@ -55,7 +60,8 @@ from plexor.llm.words import slabs, windows
 
 SKETCH = 64
 SHARED = 12
-LANES = 16
+#: Words of a profile.  Larger sets than need these have weaker profiles, so more of their pairs are compared; the result is the same.
+WORDS = 64
 
 
 def tail_bits(threshold: float, sketch: int = SKETCH, shared: int = SHARED) -> float:
@@ -143,7 +149,14 @@ def components(store: Store, edges: DataFrame) -> DataFrame:
         labels.store_path = new.store_path
 
 
-#: What a region has of a set c: its size, how many of its members others have at all, these by class, how much it has in common, its component.
+def profile(g: np.ndarray, n: int) -> np.ndarray:
+    """How many g are, then parities of their counts by the last bits of g, 64 a word; 2 n bits or the next power of two for a set of size n."""
+    bits = 64 * min(WORDS, 1 << max(0, (2 * n - 1).bit_length() - 6))
+    odd = np.bincount(g & (bits - 1), minlength=bits) & 1
+    return np.concatenate([[len(g)], np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")])
+
+
+#: What a region has of a set c: its size, how much it can have in common there, its profile, how much it has in common with any, its component.
 FACTS = ["c", "n", "shared", "profile", "common", "comp"]
 
 
@@ -166,30 +179,35 @@ def ranked(held: DataFrame, percent: int) -> DataFrame:
                 # Members of one set alone come first in its order; a prefix ends so many places earlier among the others.
                 length = n + (-n * percent) // 100 + 1 - (n - len(g))
                 prefix = g[np.lexsort((g, df))[: max(0, length)]]
-                rows.append((c, n, len(g), np.bincount(g % LANES, minlength=LANES).astype(np.int32), float(np.log2(df).sum()), prefix))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.float64(), pa.list_(pa.int64())]
+                rows.append((c, n, len(g), profile(g, n), float(np.log2(df).sum()), prefix))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.list_(pa.int64())]
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(columns, kinds)], names)
 
-    return scan(held.select("c", "n", "held"), rank, "c long, n long, shared long, profile array<int>, common double, prefix array<long>")
+    return scan(held.select("c", "n", "held"), rank, "c long, n long, shared long, profile array<long>, common double, prefix array<long>")
 
 
 def seeds(store: Store, sets: DataFrame, wanted: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(facts of the sets that can link at all, with c, n, shared, profile, common; their prefixes g, c).  wanted: c, n of the sets."""
+    """(facts of the sets that can link at all, with c, n, shared, profile, common; their prefixes g, c, left: shared members from g on).  wanted: c, n of the sets."""
     tokens = sets.select("c", F.explode("members").alias("g"))
     held = tokens.join(held_twice(tokens), "g").groupBy("c").agg(F.collect_list(F.struct("df", "g")).alias("held"))  # a set at most
     facts = store.put(ranked(with_ids(held, wanted, ["c"], "inner"), percent), "facts")
     release(sets.sparkSession)
-    return facts.drop("prefix"), facts.select(F.explode("prefix").alias("g"), "c")
+    return facts.drop("prefix"), facts.select("c", "shared", F.posexplode("prefix").alias("at", "g")).select("g", "c", (F.col("shared") - F.col("at")).alias("left"))
 
 
 def possible(x: str, y: str, percent: int) -> Column:
     """May the sets of rows x and y link?  By their components, sizes and profiles."""
     of = lambda row, name: F.col(f"{row}.{name}")
     n, m = of(x, "n"), of(y, "n")
-    both = F.aggregate(F.zip_with(of(x, "profile"), of(y, "profile"), lambda p, q: F.least(p, q)), F.lit(0), lambda s, p: s + p)
+    words = F.least(F.size(of(x, "profile")), F.size(of(y, "profile"))) - 1
+    # A profile of twice the words, the most that sizes allow, folds into one of half of them.
+    half = lambda p: F.zip_with(F.slice(p, 2, words), F.slice(p, words + 2, words), lambda u, v: u.bitwiseXOR(v))
+    fold = lambda p: F.when(F.size(p) - 1 == words, F.slice(p, 2, words)).otherwise(half(p))
+    odd = F.zip_with(fold(of(x, "profile")), fold(of(y, "profile")), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    twice = of(x, "profile")[0] + of(y, "profile")[0] - F.aggregate(odd, F.lit(0), lambda s, p: s + p)
     sized = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    return (of(x, "comp") != of(y, "comp")) & sized & ((100 + percent) * F.least(of(x, "shared"), of(y, "shared")) >= percent * (n + m)) & ((100 + percent) * both >= percent * (n + m))
+    return (of(x, "comp") != of(y, "comp")) & sized & ((100 + percent) * F.least(of(x, "shared"), of(y, "shared")) >= percent * (n + m)) & ((100 + percent) * twice >= 2 * percent * (n + m))
 
 
 def ordered(x: str, y: str) -> list[Column]:
@@ -238,15 +256,16 @@ class RegionJoin:
 
     def first_level(self, facts: DataFrame, prefix: DataFrame) -> DataFrame:
         """The regions of step 3."""
-        known = facts.select("c", "common")
-        seen = prefix.join(known, "c")
-        pivot = seen.groupBy("g").agg(F.max(F.struct("common", (-F.col("c")).alias("c"))).alias("p"), F.count("*").alias("k")).where("k > 1").select("g", (-F.col("p.c")).alias("pivot"))
-        seen = self.store.put(prefix.join(pivot, "g").where("c <> pivot").select("pivot", "c").distinct(), "seen")
+        core = (100 + self.percent) * F.col("left") >= 2 * self.percent * F.col("n")
+        seen = prefix.join(facts.select("c", "n", "common"), "c")
+        heads = seen.groupBy("g").agg(F.max(F.struct("common", (-F.col("c")).alias("c"))).alias("p"), F.count("*").alias("k"), F.max(core).alias("any"))
+        pivot = heads.where("k > 1 and any").select("g", (-F.col("p.c")).alias("pivot"))
+        seen = self.store.put(prefix.join(pivot, "g").where("c <> pivot").groupBy("pivot", "c").agg(F.max("left").alias("left")), "seen")
         low, high = F.least("pivot", "c"), F.greatest("pivot", "c")
         found = self.compare(seen.select(low.alias("a"), high.alias("b"), low.alias("ca"), high.alias("cb")))
         near = seen.withColumns({"a": low, "b": high}).join(found.select("a", "b", "d"), ["a", "b"])
-        # All of a region count as its core: which pivots a set is compared with depends on its prefix, so the nearest alone doesn't see all partners.
-        rows = near.join(facts, "c").select(F.col("pivot").alias("g"), "d", F.lit(True).alias("core"), F.lit(False).alias("dense"), "c", "n", "shared", "profile", "common", F.col("c").alias("comp"))
+        # Which pivots a set is compared with depends on its prefix, so the nearest alone doesn't see all partners: the core is told by place.
+        rows = near.join(facts.drop("shared"), "c").select(F.col("pivot").alias("g"), "d", core.alias("core"), F.lit(False).alias("dense"), "c", "n", F.col("left").alias("shared"), "profile", "common", F.col("c").alias("comp"))
         return self.store.put(self.merged(rows, found), "regions")
 
     def run(self, state: DataFrame) -> None:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,11 +28,14 @@ def brute(rows):
             x = home[x]
         return x
 
-    for a in range(len(rows)):
-        for b in range(a):
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
-                home[find(a)] = find(b)
+    place = {s: i for i, s in enumerate(frozenset().union(*sets))}
+    has = np.zeros((len(rows), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [place[x] for x in s]] = 1
+    both = has @ has.T  # every pair of all rows
+    any_of = has.sum(axis=1)[:, None] + has.sum(axis=1) - both
+    for a, b in zip(*np.nonzero((both > 0) & (100 * both >= 75 * any_of))):
+        home[find(int(a))] = find(int(b))
     least = {}
     for i, (name, _) in enumerate(rows):
         if name is not None:
@@ -154,6 +158,38 @@ def test_regions_of_many_clusters_divide(spark, monkeypatch):
     assert counted(spark, monkeypatch, rows, small=16, pivots=6) < len(rows) * (len(rows) - 1) / 6
 
 
+def nearly(seed, groups, shared=164, words=200):
+    """Groups of three near copies; texts of different groups share most of their words, but too few to link."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    start, rows = [word() for _ in range(shared)], []
+    for _ in range(groups):
+        own = [word() for _ in range(words - shared)]
+        rows += [(len(rows) + k, " ".join(start + own[: len(own) - k] + [word() for _ in range(k)])) for k in range(3)]
+    return rows
+
+
+def test_a_group_that_nearly_links_costs_comparisons_in_proportion(spark, monkeypatch):
+    """240, 480 and 960 texts that share 164 of 200 words, three by three near copies."""
+    costs = [counted(spark, monkeypatch, nearly(11, n)) for n in (80, 160, 320)]
+    assert all(cost <= 4 * 3 * n for cost, n in zip(costs, (80, 160, 320)))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_profiles_never_tell_more_differences_than_there_are(seed):
+    from plexor.llm.ngram_join import WORDS, profile
+
+    rng = np.random.default_rng(seed)
+    for n, m in ((40, 50), (96, 128), (600, 700), (30_000, 39_000)):
+        both = rng.integers(-(2**62), 2**62, int(n * 0.9))
+        x, y = (np.concatenate([both, rng.integers(-(2**62), 2**62, k - len(both))]) for k in (n, m))
+        p, q = profile(x, n), profile(y, m)
+        assert p[0] == n and q[0] == m and len(p) - 1 <= WORDS and len(p) <= len(q) <= 2 * len(p) - 1
+        half = q[1:].reshape(-1, len(p) - 1)
+        differ = np.bitwise_xor.reduce(np.concatenate([p[None, 1:], half]), axis=0)
+        assert sum(int(w).bit_count() for w in differ.view(np.uint64).tolist()) <= n + m - 2 * len(both)
+
+
 def test_regions_divide_without_loss(spark):
     """One region around a point far from all, clusters that chain across the border between pivots: every link is found, with and without division."""
     import plexor.llm.ngram_join as module
@@ -168,8 +204,8 @@ def test_regions_divide_without_loss(spark):
     link = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
     store = Store(spark, "test-regions")
     table_ = store.put(spark.createDataFrame(list(enumerate(sets)), "c long, members array<long>"), "sets")
-    facts = [("r", 1.0, i % 3 > 0, False, i, len(s), len(s), [sum(g % 16 == k for g in s) for k in range(16)], 1.0, i) for i, s in enumerate(sets)]
-    state = store.put(spark.createDataFrame(facts, "g string, d double, core boolean, dense boolean, c long, n long, shared long, profile array<int>, common double, comp long").withColumn("g", F.xxhash64("g")), "state")
+    facts = [("r", 1.0, i % 3 > 0, False, i, len(s), len(s), [int(x) for x in module.profile(np.array(s), len(s))], 1.0, i) for i, s in enumerate(sets)]
+    state = store.put(spark.createDataFrame(facts, "g string, d double, core boolean, dense boolean, c long, n long, shared long, profile array<long>, common double, comp long").withColumn("g", F.xxhash64("g")), "state")
     cored = [f[2] for f in facts]
     want = {(a, b) for b in range(len(sets)) for a in range(b) if (cored[a] or cored[b]) and link(set(sets[a]), set(sets[b]))}
     for small, pivots in ((200, 4), (4, 4), (4, 12)):
