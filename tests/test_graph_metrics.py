@@ -242,3 +242,24 @@ def test_a_large_cluster_meets_in_cells(spark, cell):
     assert got == {k: n for k, n in want.items() if n}
     most = max(r["count"] for r in celled(runs, cell).groupBy("run", "label", "low", "high").count().collect())
     assert most <= (60 if cell == 512 else 2 * cell + 12)
+
+
+@pytest.mark.parametrize("block, hub", [(40, 10**6), (40, 60), (10**6, 10**6)])
+def test_offers_by_blocks_are_those_of_the_plan(spark, block, hub):
+    """Two layers, a hub, a node without links: the same offers however nodes are dealt, and edges stay where they are."""
+    from plexor.operators.cluster import _blockwise, _known, _offers
+    from plexor.operators.offers import Neighbours
+
+    rng = __import__("random").Random(block)
+    pairs = {(layer, *sorted(rng.sample(range(100), 2))): rng.choice([0.3, 1.0, 2.5]) for layer in (0, 1) for _ in range(300)} | {(1, 0, v): 1.0 for v in range(1, 100)}
+    rows = [(x, *e, w) for (x, u, v), w in pairs.items() for e in ((u, v), (v, u))]
+    links = settled(spark.createDataFrame(rows, "layer int, u long, v long, w double"), "links")
+    state = spark.createDataFrame([(x, i, i % 23, math.fsum(w for a, u, _, w in rows if (a, u) == (x, i)), 900.0) for x in (0, 1) for i in range(101)], "layer int, node long, label long, k double, two_m double")
+    near = Neighbours(links, state, block, hub)
+    assert (near.hubs is not None) == (hub == 60)
+    of = lambda df: {(r.layer, r.node): (r.own, r.to, pytest.approx(r.prior)) for r in df.collect()}
+    got = {(r.layer, r.node): (r.own, r.to, r.prior) for r in _blockwise(near, state).collect()}
+    assert got == of(_offers(links, state)) and len(got) > 50
+    plan = near.moves(_known(state, "total"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Bucketed: true") == 2
+    near.forget()
