@@ -263,3 +263,39 @@ def test_offers_by_blocks_are_those_of_the_plan(spark, block, hub):
     plan = near.moves(_known(state, "total"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Bucketed: true") == 2
     near.forget()
+
+
+def test_louvain_clears_its_shuffle_files(spark, monkeypatch):
+    """What rounds shuffle goes before the next; a level's edges are not written in both directions, and not shuffled again after they are packed."""
+    import time
+
+    from plexor.operators import cluster, offers
+
+    monkeypatch.setattr(cluster, "SWEPT", 0)
+    files, names, packed = [], [], []
+
+    def counted(near, state, of=cluster._blockwise):
+        time.sleep(1)  # files are deleted in the background
+        files.append(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().length())
+        return of(near, state)
+
+    def noted(self, df, key, name, of=offers.Neighbours._bucketed):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        packed.append((plan.count("Exchange "), plan.count("REPARTITION_BY_NUM")))
+        return of(self, df, key, name)
+
+    monkeypatch.setattr(cluster, "_blockwise", counted)
+    monkeypatch.setattr(cluster, "settled", lambda df, name: names.append(name) or settled(df, name))
+    monkeypatch.setattr(offers.Neighbours, "_bucketed", noted)
+    edges = settled(edges_of(spark, planted(layers=("x",))), "edges")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rounds = []
+        assert len({r.label for r in louvain(edges, rounds=rounds).collect()}) == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(files) == sum(rounds) > 4 and max(files) <= 60 and "both" not in names
+    packed.clear()
+    links = settled(graph.symmetric(edges).withColumn("layer", F.lit(0)), "links")
+    offers.Neighbours(links, links.select("layer", F.col("u").alias("node")).distinct(), 40).forget()
+    assert all(dealt == 2 for _, dealt in packed) and [n for n, _ in packed] == [3, 3]  # the third: distinct() of this test
