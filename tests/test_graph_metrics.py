@@ -299,3 +299,83 @@ def test_louvain_clears_its_shuffle_files(spark, monkeypatch):
     links = settled(graph.symmetric(edges).withColumn("layer", F.lit(0)), "links")
     offers.Neighbours(links, links.select("layer", F.col("u").alias("node")).distinct(), 40).forget()
     assert all(dealt == 2 for _, dealt in packed) and [n for n, _ in packed] == [3, 3]  # the third: distinct() of this test
+
+
+def test_grouped_modularity_is_that_of_the_edges(spark):
+    """Groups listed twice, of one member, in two layers, and a member without a label."""
+    rng = __import__("random").Random(3)
+    groups = {g: set(rng.sample(range(20), rng.randrange(1, 6))) for g in range(60)}
+    layer = [(g, x) for g in groups for x in (["a", "b"] if g == 7 else ["ab"[g % 2]])]
+    shared = {}
+    for g, x in layer:
+        for u, v in itertools.combinations(sorted(groups[g]), 2):
+            shared[x, u, v] = shared.get((x, u, v), 0.0) + 1
+    edges = spark.createDataFrame([(*e, w) for e, w in shared.items()], "layer string, u long, v long, w double")
+    labels = labels_of(spark, [i % 4 for i in range(19)])
+    members = spark.createDataFrame([(g, i) for g, some in groups.items() for i in [*some, min(some)]], "group long, node long")
+    layers = spark.createDataFrame(layer + layer[:3], "group long, layer string")
+    of = lambda df: {r.layer: pytest.approx(r.modularity, rel=1e-12) for r in df.collect()}
+    got = of(metrics.grouped_modularity(members, layers, labels))
+    assert len(got) == 2 and {x: q.expected for x, q in got.items()} == of(metrics.modularity(edges, labels))
+
+
+@pytest.mark.parametrize("hub", [60, 10**6])
+def test_communities_edges_come_from_blocks(spark, hub):
+    """A level's end adds edges up where they are packed: as joins would, with and without a hub; strengths too."""
+    from plexor.operators.cluster import _known
+    from plexor.operators.offers import Neighbours
+
+    rng = __import__("random").Random(hub)
+    pairs = {(layer, *sorted(rng.sample(range(100), 2))): rng.choice([0.3, 1.0, 2.5]) for layer in (0, 1) for _ in range(300)} | {(1, 0, v): 1.0 for v in range(1, 100)}
+    links = settled(spark.createDataFrame([(*e, w) for e, w in pairs.items()], "layer int, u long, v long, w double"), "links")
+    near = Neighbours(links, spark.createDataFrame([(0, 5, 2.0), (1, 200, 3.0)], "layer int, node long, more double"), 40, hub, mirrored=True)
+    assert (near.hubs is not None) == (hub == 60) and near.count > 10
+    k, sums = {(0, 5): 2.0, (1, 200): 3.0}, {}
+    for (x, u, v), w in pairs.items():
+        for end in (u, v):
+            k[x, end] = k.get((x, end), 0.0) + w
+        at = (x, *sorted((u % 7, v % 7)))
+        sums[at] = sums.get(at, 0.0) + w
+    nodes = settled(near.nodes(), "nodes")
+    assert {(r.layer, r.node): pytest.approx(r.k) for r in nodes.collect()} == k and nodes.count() == len(k)
+    state = nodes.select("layer", "node", (F.col("node") % 7).alias("label"), "k", F.lit(900.0).alias("two_m"))
+    merged = near.merged(_known(state, "total")).groupBy("layer", "u", "v").agg(F.sum("w").alias("w"))
+    assert {(r.layer, r.u, r.v): pytest.approx(r.w) for r in merged.collect()} == sums
+    near.forget()
+
+
+def test_near_numbers_share_blocks(spark):
+    """A ring asks its blocks' neighbours only; numbers that crowd in one place go by hash, evenly."""
+    from plexor.operators.offers import Neighbours
+
+    ring = settled(spark.range(4_000).select(F.lit(0).alias("layer"), F.col("id").alias("u"), ((F.col("id") + 1) % 4_000).alias("v"), F.lit(1.0).alias("w")), "ring")
+    none = spark.createDataFrame([], "layer int, node long")
+    near = Neighbours(ring, none, 400, mirrored=True)
+    assert near.count == 20 and {len(r.targets) for r in near.asked.collect()} == {3}
+    near.forget()
+    crowded = ring.unionByName(spark.createDataFrame([(0, 0, 10**9, 1.0)], "layer int, u long, v long, w double"))
+    near = Neighbours(crowded, none, 400, mirrored=True)
+    assert near.width is None and max(len(r.near) for r in near.edges.collect()) < 8 * 500
+    near.forget()
+
+
+def test_baseline_shuffles_pairs_once(spark, monkeypatch):
+    """ml13: the layers' sum is read from a pair's counts; communities' modularity as from the edges."""
+    from plexor.operators import cluster
+    from plexor.plans import queries
+
+    d, names, kept = "/root/testdata/sf0.001", [], {}
+
+    def noted(df, name="table"):
+        names.append(name)
+        kept[name] = settled(df, name)
+        return kept[name]
+
+    edges = settled(queries.mx(spark, d), "mx")
+    want = {(r.u, r.v): pytest.approx(r.w) for r in graph.aggregate_layers(edges, graph.layer_weights(graph.entries(edges), "inv_nnz", 0, total="one")).collect()}
+    assert {(r.u, r.v): r.w for r in queries.whole_of(spark, d, "inv_nnz").collect()} == want and want
+    monkeypatch.setattr(queries, "settled", noted)
+    monkeypatch.setattr(cluster, "settled", noted)
+    got = {r.layer: r.modularity for r in queries.ml13_baseline(spark, d).collect()}
+    assert "mx" not in names and "louvain" not in names and names.count("counts") == 1
+    assert got == {r.layer: pytest.approx(r.modularity) for r in metrics.modularity(edges, kept["labels"]).collect()}
