@@ -379,3 +379,33 @@ def test_baseline_shuffles_pairs_once(spark, monkeypatch):
     got = {r.layer: r.modularity for r in queries.ml13_baseline(spark, d).collect()}
     assert "mx" not in names and "louvain" not in names and names.count("counts") == 1
     assert got == {r.layer: pytest.approx(r.modularity) for r in metrics.modularity(edges, kept["labels"]).collect()}
+
+
+def test_blocks_move_their_own_nodes_first(spark):
+    """Blocks are ranges of one layer after the other; before any round they find communities of their own nodes, and so most of the modularity."""
+    from plexor.operators.offers import Neighbours
+
+    links = settled(edges_of(spark, planted(layers=("0", "1"))).withColumn("layer", F.col("layer").cast("int")), "links")
+    near = Neighbours(links, spark.createDataFrame([(1, 100, 3.0)], "layer int, node long, more double"), 400, mirrored=True)
+    places = {(r.layer, r.node): r.b for r in near.nodes().collect()}
+    assert near.count > 4 and {len({x for (x, _), b in places.items() if b == i}) for i in set(places.values())} <= {1, 2} and len(set(places.values())) == near.count
+    assert sum(len({x for (x, _), b in places.items() if b == i}) == 2 for i in set(places.values())) <= 1
+    two_m = {r.layer: r.m for r in links.groupBy("layer").agg((2 * F.sum("w")).alias("m")).collect()}
+    start = settled(near.started(two_m, 5), "start")
+    assert {(r.layer, r.node) for r in start.collect()} == set(places) and all(places[r.layer, r.label] == places[r.layer, r.node] for r in start.collect())
+    assert sorted(start.collect()) == sorted(near.started(two_m, 5).collect()) and {(r.layer, r.node): r.k for r in start.collect()}[1, 100] == 3.0
+    for layer in (0, 1):
+        one = links.where(F.col("layer") == layer)
+        assert metrics.modularity(one, start.where(F.col("layer") == layer).select("node", "label")).first().modularity > 0.25
+    near.forget()
+
+
+def test_passes_over_a_block_end_where_no_node_gains():
+    """Two triangles joined by an edge, as places and links of a block."""
+    from plexor.operators.offers import _passed
+
+    ends = sorted((a, b) for e in [*TRIANGLES, (2, 3)] for a, b in (e, e[::-1]))
+    cut = [sum(a < x for a, _ in ends) for x in range(7)]
+    k = [float(cut[x + 1] - cut[x]) for x in range(6)]
+    label = _passed(cut, [b for _, b in ends], [1.0] * len(ends), k, [14.0] * 6, [3, 1, 0, 5, 2, 4])
+    assert len(set(label[:3])) == len(set(label[3:])) == 1 and label[0] != label[3]
