@@ -409,3 +409,19 @@ def test_passes_over_a_block_end_where_no_node_gains():
     k = [float(cut[x + 1] - cut[x]) for x in range(6)]
     label = _passed(cut, [b for _, b in ends], [1.0] * len(ends), k, [14.0] * 6, [3, 1, 0, 5, 2, 4])
     assert len(set(label[:3])) == len(set(label[3:])) == 1 and label[0] != label[3]
+
+
+def test_a_layer_without_weight_stays_as_it_is():
+    """Its nodes have no strength to divide by; those of the other layer move."""
+    import pyarrow as pa
+
+    from plexor.operators import offers
+
+    ends = [(x, u, v, float(x), 0, 0) for x in (0, 1) for u, v in TRIANGLES]
+    names, kinds = ["layer", "u", "v", "w", "b", "far"], [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+    dealt = offers._packer(True)([pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ends), kinds)], names)])
+    own = pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.float64())], ["layer", "node", "more"])
+    edges = offers._gathered(pa.Table.from_batches(dealt), own)
+    (out,) = offers._starter({0: 0.0, 1: 12.0}, 0)(edges.to_batches())
+    label = {(r["layer"], r["node"]): r["label"] for r in out.to_pylist()}
+    assert all(label[0, i] == i for i in range(6)) and len({label[1, i] for i in range(6)}) == 2
